@@ -38,6 +38,6 @@ def chi2_tail(statistic: str, dof: str) -> str:
     tail = (
         f"aggregate({positions}, named_struct('log_term', {log_first}, 'total', {first_sum}),"
         f" (acc, j) -> named_struct('log_term', {log_next}, 'total', acc.total + exp({log_next})),"
-        f" acc -> least(acc.total, 1D))"
+        f" acc -> CASE WHEN acc.total > 1 THEN 1D ELSE acc.total END)"
     )
     return f"CASE WHEN {dof} >= 1 THEN CASE WHEN {h} <= 0 THEN 1D ELSE {tail} END END"

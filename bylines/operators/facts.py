@@ -55,8 +55,7 @@ def entity_stats(
     """Per (entity, period): member rows and ordinal bounds of the whole entity, and the
     label masks of the period. The window sees one row per period of an entity."""
     by_period = (
-        members.filter(f"{quoted(entity)} IS NOT NULL")
-        .groupBy(entity, period)
+        members.groupBy(entity, period)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             F.min(ordinal).alias("_low"),

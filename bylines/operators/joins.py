@@ -52,9 +52,8 @@ def attach_per_key(
         named = [f"{quoted(k)} AS {quoted(f'_{prefix}_{k}')}" for k in every]
         return [*named, f"{packed} AS _{prefix}", *extra]
 
-    def same(prefix: str) -> str:
-        tests = [f"{quoted(k)} = {quoted(f'_{prefix}_{k}')}" for k in keys]
-        tests += [f"{quoted(k)} <=> {quoted(f'_{prefix}_{k}')}" for k in null_safe]
+    def same(prefix: str, exact: Sequence[str]) -> str:
+        tests = [f"{quoted(k)} {'=' if k in exact else '<=>'} {quoted(f'_{prefix}_{k}')}" for k in every]
         return " AND ".join(tests)
 
     hottest = per_key.filter(f"{quoted(rows)} >= {hot_rows}").orderBy(F.desc(rows), *every).limit(hot_keys)
@@ -63,11 +62,15 @@ def attach_per_key(
     cold = per_key.selectExpr(*side("cold", f"CASE WHEN {quoted(rows)} > 0 THEN 0 END AS _cold_salt"))
 
     columns = [quoted(c) for c in df.columns]
+    # The partition id keeps equal copies of a row apart; unlike a random number it is
+    # the same when a lost task runs again.
     alone = " OR ".join(["_hot IS NOT NULL", *[f"{quoted(k)} IS NULL" for k in keys]])
-    salt = f"CASE WHEN {alone} THEN 1 + CAST(pmod(xxhash64({', '.join(columns)}), {SALTS}) AS INT) ELSE 0 END"
-    marked = df.join(F.broadcast(hottest.selectExpr(*side("hot"))), F.expr(same("hot")), "left")
+    salt = f"CASE WHEN {alone} THEN 1 + CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {SALTS}) AS INT) ELSE 0 END"
+    marked = df.join(F.broadcast(hottest.selectExpr(*side("hot"))), F.expr(same("hot", keys)), "left")
+    # NULL keys are kept apart by their salt. Comparing all keys null-safely leaves no
+    # IS NOT NULL to push below the aggregate, so both sides can share one shuffle of ``df``.
     joined = marked.selectExpr(*columns, "_hot", f"{salt} AS _salt").join(
-        cold, F.expr(f"{same('cold')} AND _salt = _cold_salt"), "left"
+        cold, F.expr(f"{same('cold', [])} AND _salt = _cold_salt"), "left"
     )
     if how == "inner":
         joined = joined.filter("coalesce(_hot, _cold) IS NOT NULL")
@@ -91,13 +94,12 @@ def attach_distinct_count(
 def distinct_members(
     df: DataFrame, entity: str, member: str, name: str, rows: str | None = None
 ) -> DataFrame:
-    """Distinct members per non-NULL entity; members are folded per entity before counting.
+    """Distinct members per entity; members are folded per entity before counting.
 
     ``member`` is a SQL expression; ``rows`` names an extra column with the row count.
     """
     folded = (
-        df.filter(f"{quoted(entity)} IS NOT NULL")
-        .selectExpr(quoted(entity), f"{member} AS _member")
+        df.selectExpr(quoted(entity), f"{member} AS _member")
         .groupBy(entity, "_member")
         .agg(F.count(F.lit(1)).alias("_rows_of_member"))
     )
