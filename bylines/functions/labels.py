@@ -11,9 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from bylines.functions import sql
 
 # The fourteen contributor roles of the public taxonomy.
@@ -65,26 +62,33 @@ def unique_labels(labels: str) -> str:
 
 
 def label_masks(
-    labels: str,
+    text: str,
     vocab: Sequence[str] = ROLES,
     aliases: Mapping[str, str] = ROLE_ALIASES,
-) -> list[Column]:
-    """Bit masks of the vocabulary labels present in an array.
+    separator: str = SEPARATOR,
+) -> list[str]:
+    """SQL for the bit masks of the vocabulary labels present in a joined label string.
 
-    Canonical spelling, allow-list and de-duplication happen in one step.
+    Splitting, canonical spelling, allow-list and de-duplication happen in one step: a
+    label is present exactly when the text, fenced by separators, contains the label
+    fenced by separators. This is a byte search without arrays or regular expressions.
     One mask holds 63 labels; longer vocabularies yield several masks.
     """
-
-    def cases(part: Sequence[str]) -> str:
-        bits = {label: 1 << i for i, label in enumerate(part)}
-        spelled = {label: bit for label, bit in bits.items() if label not in aliases}
-        spelled |= {a: bits[label] for a, label in aliases.items() if label in bits}
-        return " ".join(f"WHEN {sql.literal(s)} THEN {bit}L" for s, bit in spelled.items())
-
-    return [
-        F.expr(f"aggregate({labels}, 0L, (mask, x) -> mask | CASE x {cases(part)} ELSE 0L END)")
-        for part in _parts(vocab)
-    ]
+    if not separator or any(separator.endswith(separator[:i]) for i in range(1, len(separator))):
+        raise ValueError("a separator that overlaps itself does not cut the text in one way")
+    fenced = f"concat({sql.literal(separator)}, {text}, {sql.literal(separator)})"
+
+    def bits(part: Sequence[str]) -> str:
+        spelled = [(label, i) for i, label in enumerate(part) if label not in aliases]
+        spelled += [(alias, part.index(label)) for alias, label in aliases.items() if label in part]
+        tests = [
+            f"CASE WHEN contains({fenced}, {sql.literal(separator + spelling + separator)}) THEN {1 << i}L ELSE 0L END"
+            for spelling, i in spelled
+            if separator not in spelling
+        ]
+        return " | ".join(tests or ["0L"])
+
+    return [bits(part) for part in _parts(vocab)]
 
 
 def labels_of_masks(masks: Sequence[str], vocab: Sequence[str] = ROLES) -> str:

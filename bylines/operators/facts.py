@@ -38,13 +38,13 @@ def member_masks(
     labels: str,
     vocab: Sequence[str],
     aliases: Mapping[str, str],
-    pattern: str,
+    separator: str,
 ) -> tuple[DataFrame, list[str]]:
     """One row per member key with its label masks; NULL label strings make no member."""
-    masks = L.label_masks(L.split_labels(quoted(labels), pattern), vocab, aliases)
+    masks = L.label_masks(quoted(labels), vocab, aliases, separator)
     names = [f"_mask{i}" for i in range(len(masks))]
-    rows = df.filter(f"{quoted(labels)} IS NOT NULL").select(
-        *keys, *[mask.alias(name) for mask, name in zip(masks, names, strict=True)]
+    rows = df.filter(f"{quoted(labels)} IS NOT NULL").selectExpr(
+        *map(quoted, keys), *[f"{mask} AS {name}" for mask, name in zip(masks, names, strict=True)]
     )
     return rows.groupBy(*keys).agg(*[F.bit_or(name).alias(name) for name in names]), names
 
@@ -86,7 +86,7 @@ def build_facts(
     vocab: Sequence[str] = L.ROLES,
     aliases: Mapping[str, str] = L.ROLE_ALIASES,
     groups: Mapping[str, Sequence[str]] = DISCIPLINES,
-    pattern: str = L.SEPARATOR,
+    separator: str = L.SEPARATOR,
     keep_empty: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -102,7 +102,7 @@ def build_facts(
 
     Members without an allowed label are dropped unless ``keep_empty``.
     """
-    members, masks = member_masks(df, keys, labels, vocab, aliases, pattern)
+    members, masks = member_masks(df, keys, labels, vocab, aliases, separator)
     stats = entity_stats(members, entity, period, ordinal, masks)
     if not keep_empty:
         members = members.filter(L.any_label(masks))

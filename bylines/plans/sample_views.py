@@ -33,40 +33,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BRAND = "CAST(regexp_replace(p_brand, 'Brand#', '') AS INT)"
-FIRST_WORD = "split_part(p_name, ' ', 1)"
-SECOND_WORD = "split_part(p_name, ' ', 2)"
 
 
 def _code(position: str) -> str:
     return f"element_at({sql.array(CODES)}, CAST({position} AS INT))"
 
 
+# Words and codes are made on the dimension tables, before their rows meet the lines.
+
+
 def _lines_and_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, parts = (table(spark, sf_dir, t) for t in ("lineitem", "part"))
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        "p_type",
+        "p_size",
+        "split_part(p_name, ' ', 1) AS word1",
+        "split_part(p_name, ' ', 2) AS word2",
+        "CAST(regexp_replace(p_brand, 'Brand#', '') AS INT) AS brand",
+    )
+    lines = table(spark, sf_dir, "lineitem")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
 
 def _lines_parts_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    codes = f"""array_compact(array(
+        CASE WHEN o_custkey % 50 <> 0 THEN {_code("o_custkey % 25 + 1")} END,
+        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN {_code("o_orderkey % 25 + 1")} END,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN {_code("o_custkey % 7 + 1")} END))"""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        "year(o_orderdate) AS year",
+        f"sort_array(array_distinct({codes})) AS codes",
+    )
     rows = _lines_and_parts(spark, sf_dir)
     return rows.join(orders, rows.l_orderkey == orders.o_orderkey)
 
 
 def author_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated rows: one per line, with codes and a declared author number of the paper."""
-    credit = f"""CASE WHEN l_quantity = 1 THEN NULL WHEN l_quantity = 2 THEN '' ELSE concat_ws(', ',
-        CASE WHEN l_linestatus = 'O' THEN p_type END,
-        {FIRST_WORD},
-        CASE WHEN l_returnflag <> 'N' THEN {SECOND_WORD} END) END"""
-    codes = f"""array_compact(array(
-        CASE WHEN o_custkey % 50 <> 0 THEN {_code("o_custkey % 25 + 1")} END,
-        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN {_code("o_orderkey % 25 + 1")} END,
-        CASE WHEN o_orderpriority = '1-URGENT' THEN {_code("o_custkey % 7 + 1")} END))"""
+    credit = """CASE WHEN l_quantity = 1 THEN NULL WHEN l_quantity = 2 THEN '' ELSE concat_ws(', ',
+        CASE WHEN l_linestatus = 'O' THEN p_type END, word1, CASE WHEN l_returnflag <> 'N' THEN word2 END) END"""
     return _lines_parts_orders(spark, sf_dir).selectExpr(
         "l_orderkey AS doi",
-        "year(o_orderdate) AS year",
-        f"{L.unique_labels(codes)} AS subjareas",
+        "year",
+        "codes AS subjareas",
         "o_custkey % 9 + 1 AS aunum",
         "l_suppkey AS auid",
         "concat('Supplier#', l_suppkey) AS surname",
@@ -86,11 +99,11 @@ def placed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors of a paper, named by part: many share a surname within a paper."""
-    given = f"CASE WHEN {FIRST_WORD} IN ('red', 'blue', 'cold', 'hot') THEN concat('a', {FIRST_WORD}) ELSE {FIRST_WORD} END"
+    given = "CASE WHEN word1 IN ('red', 'blue', 'cold', 'hot') THEN concat('a', word1) ELSE word1 END"
     return (
         _lines_and_parts(spark, sf_dir)
         .selectExpr(
-            "l_orderkey AS doi", "l_partkey AS auid", f"upper({given}) AS name", f"upper({SECOND_WORD}) AS surname"
+            "l_orderkey AS doi", "l_partkey AS auid", f"upper({given}) AS name", "upper(word2) AS surname"
         )
         .distinct()
     )
@@ -123,22 +136,22 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def roles(auid: str, *labels: str) -> str:
         return f"named_struct('auid', {auid}, 'CRediT_mapping', array({', '.join(labels)}))"
 
-    family = f"CASE WHEN l_partkey % 2 = 0 THEN {SECOND_WORD} ELSE p_type END"
+    family = f"CASE WHEN l_partkey % 2 = 0 THEN word2 ELSE p_type END"
     au = f"""array(
-        {author(1, supplier, FIRST_WORD, SECOND_WORD)},
+        {author(1, supplier, "word1", "word2")},
         {author(2, part, "p_type", family)},
-        {author(3, customer, f"concat('x', {FIRST_WORD})", "o_orderpriority")})"""
+        {author(3, customer, "concat('x', word1)", "o_orderpriority")})"""
     entries = f"""array(
-        {roles(supplier, "p_type", FIRST_WORD)},
-        {roles(customer, SECOND_WORD)},
+        {roles(supplier, "p_type", "word1")},
+        {roles(customer, "word2")},
         {roles(f"CASE WHEN l_returnflag <> 'A' THEN {part} END", "p_type")},
-        {roles(f"CASE WHEN l_linestatus = 'F' THEN {supplier} ELSE -1L END", SECOND_WORD)})"""
+        {roles(f"CASE WHEN l_linestatus = 'F' THEN {supplier} ELSE -1L END", "word2")})"""
     doi = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
     return _lines_parts_orders(spark, sf_dir).selectExpr(
         f"concat('e', {doi}) AS Eid",
         f"CASE WHEN l_quantity <> 3 THEN {entries} END AS contributions",
-        "year(o_orderdate) AS Year",
-        f"array({_code(BRAND)}, {_code('p_size % 25 + 1')}) AS subjareas",
+        "year AS Year",
+        f"array({_code('brand')}, {_code('p_size % 25 + 1')}) AS subjareas",
         f"CASE WHEN l_quantity = 2 THEN slice({au}, 1, 0) WHEN l_quantity <> 1 THEN {au} END AS Au",
         "o_orderstatus AS publication_type",
         f"{doi} AS doi",

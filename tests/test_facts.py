@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from bylines.functions import groups as G
@@ -98,11 +100,29 @@ def test_unknown_code(spark):
 def test_masks_hold_any_vocabulary(spark, size):
     vocab = [f"l'{i}\\" for i in range(size)]
     aliases = {"first": vocab[0], "last": vocab[-1], vocab[1]: vocab[2]}
-    df = spark.createDataFrame([(["first", vocab[1], "none", "last", vocab[0]],), ([],)], "labels array<string>")
-    masks = L.label_masks("labels", vocab, aliases)
+    text = ", ".join(["first", vocab[1], "none", "last", vocab[0]])
+    df = spark.createDataFrame([(text,), ("",)], "credit string")
+    masks = L.label_masks("credit", vocab, aliases)
     names = [f"m{i}" for i in range(len(masks))]
-    held = df.select(*[m.alias(n) for m, n in zip(masks, names, strict=True)]).selectExpr(
+    held = df.selectExpr(*[f"{m} AS {n}" for m, n in zip(masks, names, strict=True)]).selectExpr(
         f"{L.labels_of_masks(names, vocab)} AS held", f"{L.mask_count(names)} AS n", f"{L.any_label(names)} AS some"
     )
     want = [v for i, v in enumerate(vocab) if i in {0, 2, size - 1}]
     assert [tuple(r) for r in held.collect()] == [(want, len(want), True), ([], 0, False)]
+
+
+def test_masks_equal_splitting(spark):
+    """Fenced search against split and compare, on text full of near separators."""
+    vocab = ["a", "b", "ab", "a b", ",a", "a,", " a", "a ", "", "a, b"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "b", ",", " ", ", "]) for _ in range(rng.randrange(9))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    (mask,) = L.label_masks("t", vocab, {})
+    rows = df.selectExpr("t", f"{mask} AS m").selectExpr("t", f"{L.labels_of_masks(['m'], vocab)} AS held").collect()
+    for r in rows:
+        assert r["held"] == [v for v in vocab if v in r["t"].split(", ")]
+
+
+def test_separator_that_overlaps_itself_is_refused():
+    with pytest.raises(ValueError):
+        L.label_masks("t", ["a"], {}, "; ;")
