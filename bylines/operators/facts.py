@@ -75,6 +75,34 @@ def entity_stats(
     )
 
 
+def member_facts(
+    df: DataFrame,
+    keys: Sequence[str] = MEMBER_KEYS,
+    categories: str = "subjareas",
+    labels: str = "credit",
+    vocab: Sequence[str] = L.ROLES,
+    aliases: Mapping[str, str] = L.ROLE_ALIASES,
+    groups: Mapping[str, Sequence[str]] = DISCIPLINES,
+    separator: str = L.SEPARATOR,
+) -> DataFrame:
+    """The part of ``build_facts`` that needs no other member of the entity: the keys,
+    ``credit``, ``discipline`` and ``au_credit_num``, after a single shuffle."""
+    members, masks = member_masks(df, keys, labels, vocab, aliases, separator)
+    return members.filter(L.any_label(masks)).selectExpr(
+        *map(quoted, keys), *_member_columns(masks, vocab, categories, groups)
+    )
+
+
+def _member_columns(
+    masks: Sequence[str], vocab: Sequence[str], categories: str, groups: Mapping[str, Sequence[str]]
+) -> list[str]:
+    return [
+        f"{L.labels_of_masks(masks, vocab)} AS credit",
+        f"{groups_of(quoted(categories), groups)} AS discipline",
+        f"{L.mask_count(masks)} AS au_credit_num",
+    ]
+
+
 def build_facts(
     df: DataFrame,
     keys: Sequence[str] = MEMBER_KEYS,
@@ -111,12 +139,10 @@ def build_facts(
     known = f"{quoted(entity)} IS NOT NULL AND {quoted(period)} IS NOT NULL"
     return joined.selectExpr(
         *map(quoted, keys),
-        f"{L.labels_of_masks(masks, vocab)} AS credit",
+        *_member_columns(masks, vocab, categories, groups),
         "coalesce(row_count, 0) AS row_count",
         "position_max",
         "position_min",
-        f"{groups_of(quoted(categories), groups)} AS discipline",
-        f"{L.mask_count(masks)} AS au_credit_num",
         f"CASE WHEN {known} THEN {L.labels_of_masks(of_entity, vocab)} END AS paper_credit",
         f"CASE WHEN {known} THEN CAST({L.mask_count(of_entity)} AS BIGINT) END AS paper_credit_num",
     )

@@ -396,7 +396,7 @@ def f2_mean_share_zero_fill(spark, sf_dir):
 
 @query
 def f3_mean_labels(spark, sf_dir):
-    return rounded(M.mean_labels(V.facts(spark, sf_dir)), "paper_au_credit_avg")
+    return rounded(M.mean_labels(V.members(spark, sf_dir)), "paper_au_credit_avg")
 
 
 @query
@@ -412,7 +412,7 @@ def f5_group_count(spark, sf_dir):
 
 @query
 def f6_bins(spark, sf_dir):
-    rows = M.mean_labels(V.facts(spark, sf_dir))
+    rows = M.mean_labels(V.members(spark, sf_dir))
     return rows.selectExpr("doi", f"{bin_of('paper_au_credit_avg')} AS range")
 
 
@@ -423,12 +423,12 @@ def f7_bin_share(spark, sf_dir):
 
 @query
 def f8_cooccur(spark, sf_dir):
-    return rounded(cooccurrence(V.facts(spark, sf_dir), vocab=V.VOCAB), "ratio")
+    return rounded(cooccurrence(V.members(spark, sf_dir), vocab=V.VOCAB), "ratio")
 
 
 @query
 def f9_cooccur_group(spark, sf_dir):
-    return rounded(cooccurrence(V.facts(spark, sf_dir), vocab=V.VOCAB, by="discipline"), "ratio")
+    return rounded(cooccurrence(V.members(spark, sf_dir), vocab=V.VOCAB, by="discipline"), "ratio")
 
 
 @query

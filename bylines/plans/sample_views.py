@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bylines.functions import labels as L
 from bylines.functions import sql
-from bylines.operators.facts import build_facts, with_position_class
+from bylines.operators.facts import build_facts, member_facts, with_position_class
 
 # Subject code of Brand#1 to Brand#25.
 CODES = (
@@ -89,6 +89,10 @@ def author_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return member_facts(author_role(spark, sf_dir), vocab=VOCAB, aliases=ALIASES)
+
+
 def facts(spark: SparkSession, sf_dir: str, keep_empty: bool = False) -> DataFrame:
     return build_facts(author_role(spark, sf_dir), vocab=VOCAB, aliases=ALIASES, keep_empty=keep_empty)
 

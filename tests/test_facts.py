@@ -6,7 +6,7 @@ import pytest
 
 from bylines.functions import groups as G
 from bylines.functions import labels as L
-from bylines.operators.facts import build_facts, label_counts, with_position_class
+from bylines.operators.facts import build_facts, label_counts, member_facts, with_position_class
 
 
 def by_auid(df):
@@ -29,6 +29,20 @@ def test_empty_and_null_credit(curated_rows):
     assert set(by_auid(build_facts(df, keep_empty=True))) == {1, 2, 4}
 
 
+def test_member_facts_are_part_of_facts(curated_rows):
+    df = curated_rows(
+        ("a", 2020, ["MEDI"], 1, 1, "Software"), ("a", 2020, ["MEDI"], 2, 2, ""), (None, None, None, 3, 1, "Software")
+    )
+    part = member_facts(df)
+    assert plan_shuffles(part) == 1
+    whole = build_facts(df).select(*part.columns)
+    assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect()))
+
+
+def plan_shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def test_split_rows_of_a_member_are_merged(curated_rows):
     df = curated_rows(
         ("a", 2020, [], 1, 1, "Software"),
