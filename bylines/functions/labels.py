@@ -81,12 +81,8 @@ def label_masks(
     def bits(part: Sequence[str]) -> str:
         spelled = [(label, i) for i, label in enumerate(part) if label not in aliases]
         spelled += [(alias, part.index(label)) for alias, label in aliases.items() if label in part]
-        tests = [
-            f"CASE WHEN contains({fenced}, {sql.literal(separator + spelling + separator)}) THEN {1 << i}L ELSE 0L END"
-            for spelling, i in spelled
-            if separator not in spelling
-        ]
-        return " | ".join(tests or ["0L"])
+        wanted = [(sql.literal(separator + s + separator), 1 << i) for s, i in spelled if separator not in s]
+        return " | ".join(f"CASE WHEN contains({fenced}, {s}) THEN {bit}L ELSE 0L END" for s, bit in wanted) or "0L"
 
     return [bits(part) for part in _parts(vocab)]
 

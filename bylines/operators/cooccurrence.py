@@ -31,7 +31,9 @@ def cooccurrence(
     """
     held = f"array_intersect({array(vocab)}, {labels}) AS _set"
     keys = [by] if by else []
-    sets = tally(facts.selectExpr(held, *keys), ["_set"], by, "_n")
+    sets = tally(facts.selectExpr(held, *keys), ["_set", *keys], name="_n")
+    if by:
+        sets = sets.withColumn(by, F.explode(by))
     pairs = (
         "flatten(transform(_set, (a, i) -> transform(slice(_set, i + 1, size(_set)),"
         " b -> named_struct('a', a, 'b', b))))"
@@ -45,7 +47,7 @@ def cooccurrence(
         .agg(F.map_from_entries(F.collect_list(F.struct("_pair", "_n"))).alias("_counts"))
     )
     if by:
-        every_group = facts.sparkSession.createDataFrame([(g,) for g in groups], f"{by} string")
+        every_group = facts.sparkSession.range(1).selectExpr(f"explode({array(groups)}) AS {by}")
         tables = every_group.join(tables, by, "left")
     grid = ", ".join(f"struct({literals(pair)})" for pair in combinations(vocab, 2))
     one, other, both = (

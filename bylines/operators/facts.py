@@ -54,14 +54,11 @@ def entity_stats(
 ) -> DataFrame:
     """Per (entity, period): member rows and ordinal bounds of the whole entity, and the
     label masks of the period. The window sees one row per period of an entity."""
-    by_period = (
-        members.groupBy(entity, period)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min(ordinal).alias("_low"),
-            F.max(ordinal).alias("_high"),
-            *[F.bit_or(mask).alias(f"_all{mask}") for mask in masks],
-        )
+    by_period = members.groupBy(entity, period).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min(ordinal).alias("_low"),
+        F.max(ordinal).alias("_high"),
+        *[F.bit_or(mask).alias(f"_all{mask}") for mask in masks],
     )
     whole = f"OVER (PARTITION BY {quoted(entity)})"
     return by_period.selectExpr(

@@ -29,7 +29,8 @@ def contingency(
     """Counts of every row value with every column value present (in the same group).
 
     ``multi`` is an array column of groups, a row belonging to each. Cells that do not
-    occur get 0; NULL values take no part.
+    occur get 0; NULL values take no part. Rows are counted before a table is put together,
+    so a table holds one entry per cell: ``row`` and ``col`` are categories.
     """
     known = df.filter(f"{row} IS NOT NULL AND {col} IS NOT NULL")
     keys = [*([multi] if multi else []), *by]

@@ -65,7 +65,8 @@ def attach_per_key(
     # The partition id keeps equal copies of a row apart; unlike a random number it is
     # the same when a lost task runs again.
     alone = " OR ".join(["_hot IS NOT NULL", *[f"{quoted(k)} IS NULL" for k in keys]])
-    salt = f"CASE WHEN {alone} THEN 1 + CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {SALTS}) AS INT) ELSE 0 END"
+    spread = f"CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {SALTS}) AS INT)"
+    salt = f"CASE WHEN {alone} THEN 1 + {spread} ELSE 0 END"
     marked = df.join(F.broadcast(hottest.selectExpr(*side("hot"))), F.expr(same("hot", keys)), "left")
     # NULL keys are kept apart by their salt. Comparing all keys null-safely leaves no
     # IS NOT NULL to push below the aggregate, so both sides can share one shuffle of ``df``.

@@ -34,6 +34,7 @@ def test_raw_labels_are_counted(spark):
 
 
 def test_distinct_counts(spark):
-    df = spark.createDataFrame([("a", 1, 2020), ("a", 1, 2020), ("a", 2, 2021), ("b", None, 2021)], "eid string, auid int, y int")
+    rows = [("a", 1, 2020), ("a", 1, 2020), ("a", 2, 2021), ("b", None, 2021)]
+    df = spark.createDataFrame(rows, "eid string, auid int, y int")
     assert {r["y"]: r["n"] for r in distinct_by(df, ["y"], "eid").collect()} == {2020: 1, 2021: 2}
     assert {r["eid"]: r["n"] for r in size_per(df, "eid", "auid", "n").collect()} == {"a": 2, "b": 0}

@@ -21,7 +21,8 @@ def upper_gamma(dof: int, x: float) -> float:
 
 
 def test_tail(spark):
-    points = [(x, d) for d in [1, 2, 3, 4, 5, 13, 26, 27, 101] for x in [1e-3, 0.5, 3.84, 7.9, 8.1, 30.0, 120.0, 600.0]]
+    statistics = [1e-3, 0.5, 3.84, 7.9, 8.1, 30.0, 120.0, 600.0]
+    points = [(x, d) for d in [1, 2, 3, 4, 5, 13, 26, 27, 101] for x in statistics]
     df = spark.createDataFrame(points, "x double, d int").selectExpr("x", "d", f"{chi2_tail('x', 'd')} AS p")
     for r in df.collect():
         assert r["p"] == pytest.approx(upper_gamma(r["d"], r["x"]), rel=1e-9, abs=1e-300)

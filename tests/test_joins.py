@@ -60,7 +60,8 @@ def test_rows_of_a_hot_key_are_spread(spark):
 
 
 def test_distinct_count_of_null_entity_is_null(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", None), (None, 1), (None, 2)], "doi string, auid int")
+    rows = [("a", 1), ("a", 2), ("a", 2), ("a", None), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "doi string, auid int")
     got = attach_distinct_count(df, "doi", "auid", "n").collect()
     assert len(got) == 6
     assert {(r["doi"], r["n"]) for r in got} == {("a", 2), (None, None)}

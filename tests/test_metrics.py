@@ -25,7 +25,8 @@ def facts(curated_rows):
 
 def test_cooccurrence_equals_two_filters(facts):
     rows = facts.collect()
-    got = {(r["element1"], r["element2"]): (r["either"], r["both"], r["ratio"]) for r in cooccurrence(facts, vocab=VOCAB).collect()}
+    pairs = cooccurrence(facts, vocab=VOCAB).collect()
+    got = {(r["element1"], r["element2"]): (r["either"], r["both"], r["ratio"]) for r in pairs}
     assert list(got) == list(combinations(VOCAB, 2))
     for (a, b), (either, both, ratio) in got.items():
         assert both == sum(a in r["credit"] and b in r["credit"] for r in rows)
@@ -80,14 +81,16 @@ def test_entity_mean_spans_its_rows(curated_rows):
         ("a", 2021, ["PHYS"], 2, 2, "Resources, Software"),
         (None, 2021, ["PHYS"], 3, 2, "Resources, Software"),
     )
-    got = {(r["doi"], r["year"]): (r["members"], r["paper_au_credit_avg"]) for r in M.to_entities(build_facts(df)).collect()}
+    rows = M.to_entities(build_facts(df)).collect()
+    got = {(r["doi"], r["year"]): (r["members"], r["paper_au_credit_avg"]) for r in rows}
     assert got == {("a", 2020): (1, 1.5), ("a", 2021): (1, 1.5), (None, 2021): (1, None)}
 
 
 def test_bins_are_half_open(spark):
     values = [None, 0.5, 1.0, 1.99, 2.0, 7.5, 8.0, 14.0, 20.0]
     df = spark.createDataFrame([(v,) for v in values], "v double").selectExpr(f"{bin_of('v')} AS b")
-    assert [r["b"] for r in df.collect()] == [None, None, "[1,2)", "[1,2)", "[2,3)", "[7,8)", "[8,14]", "[8,14]", "[8,14]"]
+    want = [None, None, "[1,2)", "[1,2)", "[2,3)", "[7,8)", "[8,14]", "[8,14]", "[8,14]"]
+    assert [r["b"] for r in df.collect()] == want
 
 
 def test_zero_fill(facts):
