@@ -40,7 +40,8 @@ def attach_per_key(
     """Add the columns of ``per_key`` to the rows of ``df`` with the same key.
 
     ``per_key`` holds one row per key and, in ``rows``, the positive number of rows
-    of that key in ``df``. A NULL in ``keys`` matches nothing; in ``null_safe`` columns,
+    of that key in ``df``; keys it leaves out are not recognised as hot, so it should hold
+    every key with many rows. A NULL in ``keys`` matches nothing; in ``null_safe`` columns,
     which must also identify the row of ``per_key``, NULL matches NULL.
     ``how`` is 'left' (unmatched rows get NULL) or 'inner'.
     """
