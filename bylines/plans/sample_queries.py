@@ -99,7 +99,9 @@ def a8_curated_round_trip(spark, sf_dir):
 
 @query
 def a9_union(spark, sf_dir):
-    listed = A.explode_matched(V.articles(spark, sf_dir), "contributions", "Au", "auid").selectExpr("doi", "Year AS year", "Au.auid", "contributions.CRediT_mapping AS credit")
+    listed = A.explode_matched(V.articles(spark, sf_dir), "contributions", "Au", "auid").selectExpr(
+        "doi", "Year AS year", "Au.auid", "contributions.CRediT_mapping AS credit"
+    )
     joined = V.contributions(spark, sf_dir).selectExpr("doi", "year", "CAST(NULL AS BIGINT) AS auid", "credit")
     return A.unify_sources(listed, joined, casts={"year": "int"})
 
@@ -370,7 +372,9 @@ def e8_label_count(spark, sf_dir):
 @query
 def e9_entity_labels(spark, sf_dir):
     rows = V.facts(spark, sf_dir)
-    return rows.selectExpr("doi", "year", "auid", "position", "au_credit_num", text("paper_credit"), "paper_credit_num")
+    return rows.selectExpr(
+        "doi", "year", "auid", "position", "au_credit_num", text("paper_credit"), "paper_credit_num"
+    )
 
 
 # Role metrics
