@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from bylines.plans.sample_oracle import ORACLE
+from bylines.plans.sample_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "part orders lineitem".split()
@@ -26,12 +28,12 @@ def ordered(rows):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="sample tables not present")
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = [tuple(row[c] for c in columns) for row in df.collect()]
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLE[name])
     named = [d[0] for d in result.description]
     assert sorted(named) == columns
     want = [tuple(row[named.index(c)] for c in columns) for row in result.fetchall()]
@@ -40,7 +42,13 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+
+
+def test_entry_point_lists_every_sample_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="sample tables not present")
