@@ -14,7 +14,6 @@ after the other, so that a task never holds more than one block's machines.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
@@ -169,18 +168,3 @@ def runs(hit: bytearray) -> list[dict[str, int]]:
 def items_digest(items: str = "items") -> str:
     """SQL: SHA-256 of the ids, sorted as strings and joined by commas."""
     return f"sha2(array_join(array_sort(transform({items}, i -> CAST(i AS string))), ','), 256)"
-
-
-def brute_force(text: str | None, items: dict, window: int = WINDOW) -> tuple[int, int, str]:
-    """Words, hit words and the digest of the items, by comparing every position; for tests."""
-    words = words_of((text or "").encode())
-    hit, found = set(), set()
-    for item, other in items.items():
-        pattern = words_of((other or "").encode())
-        size = min(window, len(pattern))
-        parts = {tuple(pattern[i : i + size]) for i in range(len(pattern) - size + 1)} if size else set()
-        for i in range(len(words) - size + 1):
-            if tuple(words[i : i + size]) in parts:
-                hit |= set(range(i, i + size))
-                found.add(item)
-    return len(words), len(hit), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()

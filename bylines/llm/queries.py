@@ -7,9 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bylines.llm import decontamination, exact_dedup
+from bylines.llm import decontamination, exact_dedup, packing, simhash, substring_dedup, token_counts
 from bylines.llm.common import table
 
+TOKEN_LIMIT = 512
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and, at the same place, on the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "lpad(lower(hex(fingerprint)), 16, '0') AS fingerprint", "component_id")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -32,8 +56,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = map(vocabulary, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
 
