@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bylines.llm import decontamination, exact_dedup, packing, simhash, substring_dedup, token_counts
+from bylines.llm import decontamination, exact_dedup, licenses, packing, simhash, substring_dedup, token_counts
 from bylines.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -56,6 +56,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.selectExpr(
+        "doc_id",
+        "CAST(size(matches) AS bigint) AS n_statements",
+        "array_max(matches.dice) AS best_dice",
+        "array_join(array_sort(array_distinct(matches.license)), ',') AS licenses",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = map(vocabulary, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
     return packing.pack_documents(table(spark, sf_dir, "documents"), *files)
@@ -66,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
@@ -80,4 +91,5 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
           sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op8_license_scan": licenses.oracle(),
 }
