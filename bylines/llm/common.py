@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SALTS = 64  # shares into which the rows of one key are dealt; the same for every key
 BATCH_BYTES = 8 << 20  # text that a Python task works on at a time
@@ -63,7 +64,7 @@ def text_slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> It
 def map_text(
     df: DataFrame,
     work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
     text: str = "text",
 ) -> DataFrame:
     """Run a function on bounded parts of every partition.

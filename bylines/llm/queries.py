@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bylines.llm import decontamination, exact_dedup, licenses, packing, simhash, substring_dedup, token_counts
+from bylines.llm import decontamination, exact_dedup, licenses, packing, simhash, substring_dedup, token_counts, toxicity
 from bylines.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -35,6 +35,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    held_out = "crc32(CAST(doc_id AS string)) % 3 = 1"
+    model = toxicity.fit(docs, labels, learnable=f"NOT ({held_out})")
+    found = toxicity.score_texts(docs, model)
+    return found.selectExpr(
+        "doc_id", f"{held_out} AS held_out", "score", f"CAST(score >= {toxicity.THRESHOLD} AS int) AS predicted"
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select(
@@ -75,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
