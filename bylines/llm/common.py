@@ -18,16 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where that is unset, as in a local
-    session, it is a folder in the warehouse, which all executors share too.
+    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in a local session, it
+    is a folder in the warehouse, which all executors share too.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.sql.warehouse.dir")
-        context.setCheckpointDir(f"{folder.rstrip('/')}/_checkpoints")
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -125,6 +125,44 @@ def find_passages(
     return state.drop("text")
 
 
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
+    blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
+    for block in blocks:
+        items = [tuple(row) for row in block.collect()]  # at most about block_bytes
+        docs = map_text(docs, _without(items, window, text_col), docs.schema, text_col)
+        if len(blocks) > 1:
+            docs = checkpointed(docs)
+    return docs
+
+
+def _without(items: list, window: int, text_col: str) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        built = machines(items, window)
+
+        def clean(part: pa.RecordBatch) -> pa.RecordBatch:
+            free = []
+            for text in texts(part, text_col):
+                words = words_of(text)
+                hit = bytearray(len(words))
+                for machine in built:
+                    machine.search(words, hit, set())
+                free.append(1 not in hit)
+            return part.filter(pa.array(free, pa.bool_()))
+
+        return clean
+
+    return work
+
+
 def _search(items: list, window: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         built = machines(items, window)

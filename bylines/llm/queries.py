@@ -11,6 +11,7 @@ from bylines.llm import decontamination, exact_dedup, licenses, packing, simhash
 from bylines.llm.common import table
 
 TOKEN_LIMIT = 512
+HELD_OUT_TOXICITY = "crc32(CAST(doc_id AS string)) % 3 = 1"  # rows whose labels teach nothing
 
 
 def vocabulary(name: str) -> str:
@@ -37,11 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
-    held_out = "crc32(CAST(doc_id AS string)) % 3 = 1"
-    model = toxicity.fit(docs, labels, learnable=f"NOT ({held_out})")
+    model = toxicity.fit(docs, labels, learnable=f"NOT ({HELD_OUT_TOXICITY})")
     found = toxicity.score_texts(docs, model)
     return found.selectExpr(
-        "doc_id", f"{held_out} AS held_out", "score", f"CAST(score >= {toxicity.THRESHOLD} AS int) AS predicted"
+        "doc_id", f"{HELD_OUT_TOXICITY} AS held_out", "score", f"CAST(score >= {toxicity.THRESHOLD} AS int) AS predicted"
     )
 
 

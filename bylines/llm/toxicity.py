@@ -231,7 +231,7 @@ def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case tokens; three or more single characters in a row also count joined."""
+    """Distinct lower-case tokens; three or more single characters in a row, the last perhaps with a sign, also joined."""
     words = text.lower().split()
     tokens = set(words)
     if len(words) > 2:
@@ -243,7 +243,7 @@ def tokens_of(text: str) -> set[str]:
             except ValueError:
                 break
             end = start + 1
-            while end < len(words) and short[end]:
+            while end < len(words) and short[end] and len(words[end - 1]) == 1:
                 end += 1
             if end - start > 2:
                 tokens.add("".join(w[0] for w in words[start:end]))
