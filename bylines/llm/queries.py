@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bylines.llm import decontamination, exact_dedup, licenses, packing, simhash, substring_dedup, token_counts, toxicity
+from bylines.llm import decontamination, exact_dedup, licenses, packing, secrets, simhash, substring_dedup, token_counts, toxicity
 from bylines.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -31,6 +31,19 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lpad(lower(hex(fingerprint)), 16, '0') AS fingerprint", "component_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    count = "CAST(size(filter(spans, s -> s.kind = '{0}')) AS bigint) AS n_{0}"
+    joined = "array_join(transform({0}, s -> concat(s.kind, ':', s.start, ':', s.`end`)), ',')"
+    return found.selectExpr(
+        "doc_id",
+        *[count.format(kind) for kind in ("assign", "access", "hex")],
+        f"sha2({joined.format("filter(spans, s -> s.kind <> 'crf')")}, 256) AS base_sha256",
+        f"{joined.format('spans')} AS spans",
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -84,6 +97,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
