@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bylines.llm import decontamination, exact_dedup, licenses, packing, secrets, simhash, substring_dedup, token_counts, toxicity
+from bylines.llm import decontamination, exact_dedup, languages, licenses, packing, secrets, simhash, substring_dedup, token_counts, toxicity
 from bylines.llm.common import table
 
 TOKEN_LIMIT = 512
+HELD_OUT_LANGUAGE = "crc32(CAST(doc_id AS string)) % 4 = 2"  # rows whose language teaches nothing
 HELD_OUT_TOXICITY = "crc32(CAST(doc_id AS string)) % 3 = 1"  # rows whose labels teach nothing
 
 
@@ -44,6 +45,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.fit(docs, learnable=f"NOT ({HELD_OUT_LANGUAGE})"))
+    return found.selectExpr(
+        "doc_id", f"{HELD_OUT_LANGUAGE} AS held_out", "lang_pred", "score", "n_switches"
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bylines.llm.common import map_text
+from bylines.llm.crf import maximise
 
 # The base patterns and the least lengths of what counts.
 ASSIGN = re.compile(
@@ -204,64 +205,16 @@ def train(sequences: list[tuple[list[str], list[int], tuple[str, ...]]]) -> Fiel
             gold.append(tag)
             first.append(i == 0)
             at += 1
-    weights, moves = np.zeros((max(1, len(index)), 3)), np.zeros((4, 3))
+    weights, moves = np.zeros((0, 3)), np.zeros((4, 3))
     if gold:
-        weights, moves = _maximise(np.array(rows), np.array(columns), np.array(gold), np.array(first), weights, moves)
+        arrays = map(np.array, (rows, columns, gold, first))
+        weights, moves = maximise(*arrays, features=len(index), tags=3, epochs=EPOCHS)
     field = Field({}, {}, {}, {}, moves)
     for (part, feature), i in index.items():
         getattr(field, part)[feature] = weights[i]
     return field
 
 
-def _maximise(
-    rows: np.ndarray, columns: np.ndarray, gold: np.ndarray, first: np.ndarray, weights: np.ndarray, moves: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Adagrad on the regularised likelihood; all sequences step through their positions together."""
-    starts = np.flatnonzero(first)
-    lengths = np.diff(np.append(starts, len(gold)))
-    target = np.eye(3)[gold]
-    seen_moves = np.zeros((4, 3))
-    np.add.at(seen_moves, (np.where(first, 3, np.append(0, gold[:-1])), gold), 1)
-    squares = [np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)]
-    for _ in range(EPOCHS):
-        emission = _summed(rows, weights[columns], len(gold))
-        chance, used = _marginals(emission, moves, starts, lengths)
-        slope = _summed(columns, (target - chance)[rows], len(weights))
-        for value, step, square in (
-            (weights, slope - 0.1 * weights, squares[0]),
-            (moves, seen_moves - used - 0.1 * moves, squares[1]),
-        ):
-            square += step**2
-            value += 0.5 * step / np.sqrt(square)
-    return weights, moves
-
-
-def _summed(groups: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(groups, v, size) for v in values.T], axis=1)
-
-
-def _marginals(
-    emission: np.ndarray, moves: np.ndarray, starts: np.ndarray, lengths: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Tag probabilities by forward-backward, and the expected transitions."""
-    ahead, behind = np.zeros_like(emission), np.zeros_like(emission)
-    longest = int(lengths.max())
-    ahead[starts] = emission[starts] + moves[3]
-    for k in range(1, longest):
-        at = starts[lengths > k] + k
-        ahead[at] = emission[at] + np.logaddexp.reduce(ahead[at - 1][:, :, None] + moves[:3], axis=1)
-    for k in range(longest - 1, 0, -1):
-        at = starts[lengths > k] + k
-        behind[at - 1] = np.logaddexp.reduce(moves[:3] + (emission[at] + behind[at])[:, None, :], axis=2)
-    total = np.logaddexp.reduce(ahead + behind, axis=1, keepdims=True)
-    chance = np.exp(ahead + behind - total)
-    inner = np.ones(len(emission), bool)
-    inner[starts] = False
-    at = np.flatnonzero(inner)
-    pair = ahead[at - 1][:, :, None] + moves[:3] + (emission[at] + behind[at])[:, None, :] - total[at][:, None]
-    return chance, np.concatenate([np.exp(pair).sum(axis=0), chance[starts].sum(axis=0, keepdims=True)])
-
-
 def decode(emission: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """The best tags of sequences that lie end to end; ``first`` marks where one begins."""
     tags = np.zeros(len(emission), np.int64)
