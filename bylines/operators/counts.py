@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bylines.functions.labels import LOOSE_SEPARATOR, split_labels
+from bylines.functions.labels import (
+    LOOSE_SEPARATOR,
+    ROLE_ALIASES,
+    allowed_labels,
+    canonical_labels,
+    split_labels,
+)
 
 QUANTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 SUMMARY = ("min", "q1", "median", "mean", "q3", "max", "sd", "mode")
 
 
-def distinct_by(df: DataFrame, keys: Sequence[str], entity: str, name: str = "n") -> DataFrame:
-    """Distinct entities per key."""
-    return df.groupBy(*keys).agg(F.count_distinct(entity).alias(name))
+def distinct_by(
+    df: DataFrame, keys: Sequence[str], entity: str, name: str = "n", multi: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Distinct entities per key.
+
+    ``multi`` maps the name of a further key to SQL for an array of its values; a row belongs to
+    each. Rows are made distinct with the array, and only what is left is opened.
+    """
+    if not multi:
+        return df.groupBy(*keys).agg(F.count_distinct(entity).alias(name))
+    rows = df.selectExpr(*keys, entity, *[f"{array} AS {key}" for key, array in multi.items()]).distinct()
+    for key in multi:
+        rows = rows.withColumn(key, F.explode(key))
+    return distinct_by(rows, [*multi, *keys], entity, name)
 
 
-def size_per(df: DataFrame, entity: str, member: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+def size_per(
+    df: DataFrame,
+    entity: str,
+    member: str,
+    name: str,
+    by: Sequence[str] = (),
+    multi: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Distinct members per entity (and group)."""
-    return distinct_by(df, [*by, entity], member, name)
+    return distinct_by(df, [*by, entity], member, name, multi)
 
 
 def labels_per(
@@ -30,56 +55,81 @@ def labels_per(
     name: str,
     by: Sequence[str] = (),
     pattern: str = LOOSE_SEPARATOR,
+    multi: Mapping[str, str] | None = None,
+    vocab: Sequence[str] | None = None,
+    aliases: Mapping[str, str] = ROLE_ALIASES,
 ) -> DataFrame:
-    """Distinct raw labels per entity (and group) of a joined label string; '' counts."""
-    tokens = f"explode(array_distinct(transform({split_labels(labels, pattern)}, x -> trim(x)))) AS _label"
-    return distinct_by(df.selectExpr(*by, entity, tokens), [*by, entity], "_label", name)
+    """Distinct labels per entity (and group) of a joined label string.
+
+    Raw labels by default, '' included. With ``vocab`` only its labels count, after ``aliases``
+    were replaced, and entities without any are left out. Equal strings are split once.
+    """
+    found = f"array_distinct(transform({split_labels(labels, pattern)}, x -> trim(x)))"
+    if vocab is not None:
+        found = f"array_distinct({allowed_labels(canonical_labels(found, aliases), vocab)})"
+    groups = {key: f"_{key}" for key in multi or {}}
+    arrays = [f"{array} AS _{key}" for key, array in (multi or {}).items()]
+    texts = df.selectExpr(*by, entity, labels, *arrays).distinct()
+    rows = texts.selectExpr(*by, entity, *groups.values(), f"explode({found}) AS _label")
+    return distinct_by(rows, [*by, entity], "_label", name, groups)
 
 
 def summarise(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """min, q1, median, mean, q3, max, sample sd and mode (ties: smallest) of a value.
 
-    Quantiles are observed values, by default from a mergeable sketch. ``exact`` ranks a
-    histogram instead, which suits values with few distinct levels such as sizes.
+    Quantiles are observed values, by default from a mergeable sketch; ``exact`` ranks a
+    histogram instead. The parts are one row per group each and are put together as rows, so
+    that no group, and no histogram, ends in one task.
     """
-    if exact:
-        return _summarise_exact(df, value, by)
-    return (
-        df.groupBy(*by)
-        .agg(
-            F.percentile_approx(value, list(QUANTILES.values())).alias("_levels"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("sd"),
-            F.mode(value, True).alias("mode"),
-        )
-        .selectExpr(*by, *[f"_levels[{i}] AS {name}" for i, name in enumerate(QUANTILES)], "mean", "sd", "mode")
-        .select(*by, *SUMMARY)
+    levels = F.percentile_approx(value, list(QUANTILES.values()))
+    parts = [
+        df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")),
+        mode(df, value, by),
+        _exact_levels(df, value, by)
+        if exact
+        else df.groupBy(*by)
+        .agg(levels.alias("_levels"))
+        .selectExpr(*by, *[f"_levels[{i}] AS {q}" for i, q in enumerate(QUANTILES)]),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in SUMMARY])
+
+
+def _exact_levels(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Quantiles from a histogram in buckets.
+
+    A bucket holds the values of 1/512 of a doubling, whatever the data, so one group has some
+    ten thousand buckets at most. They are ranked by their totals, and the values of a bucket
+    within it.
+    """
+    number = f"CAST({value} AS DOUBLE)"
+    bucket = f"CAST(sign({number}) * floor(512 * log2(1 + abs({number}))) AS INT)"
+    histogram = df.filter(f"{value} IS NOT NULL").groupBy(*by, F.col(value).alias("_value"))
+    histogram = histogram.agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_key", F.expr(f"struct({', '.join([*by, bucket.replace(value, '_value')])} AS _bucket)")
     )
-
-
-def _summarise_exact(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    group = f"PARTITION BY {', '.join(by) or '0'}"
-    upto = f"sum(_n) OVER ({group} ORDER BY _value ROWS UNBOUNDED PRECEDING) AS _upto"
-    total = f"sum(_n) OVER ({group})"
-    mean = f"sum(_value * _n) OVER ({group}) / {total}"
-    histogram = (
-        df.filter(f"{value} IS NOT NULL")
-        .groupBy(*by, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .selectExpr(*by, "_value", "_n", upto, f"{total} AS _total", f"{mean} AS _mean")
+    group = f"PARTITION BY {', '.join(by)} " if by else ""
+    totals = histogram.groupBy("_key").agg(F.sum("_n").alias("_sum")).selectExpr("_key", "_key.*", "_sum")
+    ranked = totals.selectExpr(
+        "_key",
+        f"sum(_sum) OVER ({group}ORDER BY _bucket) - _sum AS _before",
+        f"sum(_sum) OVER ({group}) AS _total",
     )
-    return (
-        histogram.groupBy(*by)
-        .agg(
-            *[F.expr(f"min(_value) FILTER (WHERE _upto >= _total * {p}D)").alias(q) for q, p in QUANTILES.items()],
-            F.max("_mean").alias("mean"),
-            F.expr("sqrt(try_divide(sum(pow(_value - _mean, 2) * _n), max(_total) - 1))").alias("sd"),
-            F.expr("min(struct(-_n, _value AS mode)).mode").alias("mode"),
-        )
-        .select(*by, *SUMMARY)
+    inside = histogram.selectExpr(*by, "_key", "_value", "sum(_n) OVER (PARTITION BY _key ORDER BY _value) AS _upto")
+    joined = inside.join(ranked, "_key")
+    return joined.groupBy(*by).agg(
+        *[
+            F.expr(f"min(_value) FILTER (WHERE _before + _upto >= _total * {p}D)").alias(q)
+            for q, p in QUANTILES.items()
+        ]
     )
 
 
 def mode(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
-    """Most frequent value; the smallest of those tied."""
-    return df.groupBy(*by).agg(F.mode(value, True).alias(name))
+    """Most frequent value; the smallest of those tied, NULL where there is none.
+
+    Equal values are counted first; the best of the counts is an aggregate that combines.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
+    best = F.expr("min(struct(-_n AS n, _value AS value)).value")
+    return counts.groupBy(*by).agg(best.alias(name))

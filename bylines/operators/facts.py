@@ -11,8 +11,9 @@ from bylines.functions import labels as L
 from bylines.functions.groups import DISCIPLINES, groups_of
 from bylines.functions.sql import literal
 from bylines.functions.sql import name as quoted
-from bylines.operators.joins import HOT_ROWS, attach_per_key
+from bylines.operators.joins import attach_per_key
 
+# The columns that identify a member row.
 MEMBER_KEYS = ("doi", "year", "subjareas", "aunum", "auid", "surname", "position")
 
 
@@ -64,7 +65,6 @@ def entity_stats(
     return by_period.selectExpr(
         quoted(entity),
         quoted(period),
-        "_rows",
         f"sum(_rows) {whole} AS row_count",
         f"max(_high) {whole} AS position_max",
         f"min(_low) {whole} AS position_min",
@@ -113,7 +113,6 @@ def build_facts(
     groups: Mapping[str, Sequence[str]] = DISCIPLINES,
     separator: str = L.SEPARATOR,
     keep_empty: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Curated rows to facts: the member keys and
 
@@ -131,7 +130,7 @@ def build_facts(
     stats = entity_stats(members, entity, period, ordinal, masks)
     if not keep_empty:
         members = members.filter(L.any_label(masks))
-    joined = attach_per_key(members, stats, [entity], "_rows", null_safe=[period], hot_rows=hot_rows)
+    joined = attach_per_key(members, stats, [entity], null_safe=[period])
     of_entity = [f"_all{mask}" for mask in masks]
     known = f"{quoted(entity)} IS NOT NULL AND {quoted(period)} IS NOT NULL"
     return joined.selectExpr(

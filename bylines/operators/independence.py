@@ -24,18 +24,23 @@ def participation(
 
 
 def contingency(
-    df: DataFrame, row: str, col: str, by: Sequence[str] = (), multi: str | None = None
+    df: DataFrame,
+    row: str,
+    col: str,
+    by: Sequence[str] = (),
+    multi: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Counts of every row value with every column value present (in the same group).
 
     ``multi`` is an array column of groups, a row belonging to each. Cells that do not
-    occur get 0; NULL values take no part. Rows are counted before a table is put together,
+    occur get 0; NULL values take no part. A row counts ``weight`` times. Rows are counted before a table is put together,
     so a table holds one entry per cell: ``row`` and ``col`` are categories.
     """
     known = df.filter(f"{row} IS NOT NULL AND {col} IS NOT NULL")
     keys = [*([multi] if multi else []), *by]
     return (
-        tally(known, [*by, row, col], multi, "_n")
+        tally(known, [*by, row, col], multi, "_n", weight)
         .groupBy(*keys)
         .agg(
             F.collect_set(row).alias("_rows"),
@@ -91,10 +96,12 @@ def chi_square_position(
     Plain: position x label over the labels members hold. ``per_label``: held or not x
     position, one test per label. ``by_group`` repeats either for each group of an array.
     """
-    rows = participation(facts, [position, *([by_group] if by_group else [])])
+    # Members are counted by position and label sets, and only the counts are opened.
     groups = [by_group] if by_group else []
+    sets = ["credit", "paper_credit"]
+    rows = participation(tally(facts, [position, *groups, *sets], name="_w"), [position, *groups, "_w"], *sets)
     if per_label:
-        cells = contingency(rows, "held", position, ["label"], by_group)
+        cells = contingency(rows, "held", position, ["label"], by_group, "_w")
         return chi_square(cells, "held", position, [*groups, "label"])
-    cells = contingency(rows.filter("held = 1"), position, "label", (), by_group)
+    cells = contingency(rows.filter("held = 1"), position, "label", (), by_group, "_w")
     return chi_square(cells, position, "label", groups)

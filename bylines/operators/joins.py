@@ -1,16 +1,14 @@
 """Attaching one value per key to every row of that key, safe for hot keys.
 
 A key may hold a third of all rows. Hashing rows on such a key would send them to
-one task, and so would a window over it. ``attach_per_key`` therefore
-
-* takes the values from an aggregate, which combines on the map side;
-* broadcasts the values of the hottest keys only. Their number is limited to
-  ``hot_keys``, so the broadcast has a fixed bound whatever the data. Keys beyond
-  the limit stay on the shuffle side and hold at most 1/hot_keys of the rows each;
-* spreads rows of hot keys, and rows with NULL keys, over ``SALTS`` buckets, where
-  they meet no shuffled value; all other rows use an ordinary equi-join.
-
-No row is dropped, capped or copied.
+one task, and so would a window over it. ``attach_per_key`` therefore deals the rows of
+every key, hot or not, over ``SALTS`` shares by a hash of the row. The shares that a key
+really has are found by an aggregate, which combines on the map side; a key's value travels
+to these shares, at most ``SALTS`` of them, and meets the rows there. Rows without a key are
+dealt in the same way and meet nothing.
+
+No row is dropped, capped or copied, nothing is broadcast, and no key is treated in a
+special way. The price is one more shuffle of (key, share) pairs, which cold keys pay too.
 """
 
 from __future__ import annotations
@@ -22,90 +20,51 @@ from pyspark.sql import functions as F
 
 from bylines.functions.sql import name as quoted
 
-HOT_ROWS = 1_000_000  # rows from which a key is taken out of the shuffle
-HOT_KEYS = 10_000  # most keys broadcast
-SALTS = 1_000_000  # buckets for the rows of hot and NULL keys
+SALTS = 1024  # shares of a key; at least the number of tasks that are to work on one
 
 
 def attach_per_key(
     df: DataFrame,
     per_key: DataFrame,
     keys: Sequence[str],
-    rows: str,
     null_safe: Sequence[str] = (),
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Add the columns of ``per_key`` to the rows of ``df`` with the same key.
 
-    ``per_key`` holds one row per key and, in ``rows``, the positive number of rows
-    of that key in ``df``; keys it leaves out are not recognised as hot, so it should hold
-    every key with many rows. A NULL in ``keys`` matches nothing; in ``null_safe`` columns,
-    which must also identify the row of ``per_key``, NULL matches NULL.
+    ``per_key`` holds one row per key. A NULL in ``keys`` matches nothing; in ``null_safe``
+    columns, which must also identify the row of ``per_key``, NULL matches NULL.
     ``how`` is 'left' (unmatched rows get NULL) or 'inner'.
     """
     every = [*keys, *null_safe]
-    values = [c for c in per_key.columns if c not in every and c != rows]
-    packed = f"struct({', '.join(map(quoted, values)) or '1'})"
-
-    def side(prefix: str, *extra: str) -> list[str]:
-        named = [f"{quoted(k)} AS {quoted(f'_{prefix}_{k}')}" for k in every]
-        return [*named, f"{packed} AS _{prefix}", *extra]
-
-    def same(prefix: str, exact: Sequence[str]) -> str:
-        tests = [f"{quoted(k)} {'=' if k in exact else '<=>'} {quoted(f'_{prefix}_{k}')}" for k in every]
-        return " AND ".join(tests)
-
-    hottest = per_key.filter(f"{quoted(rows)} >= {hot_rows}").orderBy(F.desc(rows), *every).limit(hot_keys)
-    # The shuffle side always has salt 0; it is written over a column because a literal
-    # would be folded into the join condition and leave the salt out of the hashing.
-    cold = per_key.selectExpr(*side("cold", f"CASE WHEN {quoted(rows)} > 0 THEN 0 END AS _cold_salt"))
-
+    values = [c for c in per_key.columns if c not in every]
     columns = [quoted(c) for c in df.columns]
-    # The partition id keeps equal copies of a row apart; unlike a random number it is
-    # the same when a lost task runs again.
-    alone = " OR ".join(["_hot IS NOT NULL", *[f"{quoted(k)} IS NULL" for k in keys]])
-    spread = f"CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {SALTS}) AS INT)"
-    salt = f"CASE WHEN {alone} THEN 1 + {spread} ELSE 0 END"
-    marked = df.join(F.broadcast(hottest.selectExpr(*side("hot"))), F.expr(same("hot", keys)), "left")
-    # NULL keys are kept apart by their salt. Comparing all keys null-safely leaves no
-    # IS NOT NULL to push below the aggregate, so both sides can share one shuffle of ``df``.
-    joined = marked.selectExpr(*columns, "_hot", f"{salt} AS _salt").join(
-        cold, F.expr(f"{same('cold', [])} AND _salt = _cold_salt"), "left"
-    )
+    # A struct is never NULL itself, and NULLs in it are equal, so no NULL test is pushed
+    # below the aggregates that share a shuffle. The partition id keeps equal copies of a
+    # row apart; unlike a random number it is the same when a lost task runs again.
+    key = f"struct({', '.join(map(quoted, every))}) AS _key"
+    salt = f"CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {salts}) AS INT) AS _salt"
+    known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in keys)
     if how == "inner":
-        joined = joined.filter("coalesce(_hot, _cold) IS NOT NULL")
-    return joined.selectExpr(
-        *columns, *[f"coalesce(_hot, _cold).{quoted(v)} AS {quoted(v)}" for v in values]
-    )
+        df = df.filter(known)
+    dealt = df.selectExpr(*columns, key, salt)
+    of_key = per_key.selectExpr(key, f"struct({', '.join(map(quoted, values)) or '1'}) AS _value")
+    shares = dealt.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    joined = dealt.join(shares.join(of_key, "_key"), ["_key", "_salt"], how)
+    # NULL keys met each other as parts of structs; their values are taken back here.
+    return joined.selectExpr(*columns, *[f"CASE WHEN {known} THEN _value.{quoted(v)} END AS {quoted(v)}" for v in values])
 
 
-def attach_distinct_count(
-    df: DataFrame,
-    entity: str,
-    member: str,
-    name: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def attach_distinct_count(df: DataFrame, entity: str, member: str, name: str) -> DataFrame:
     """Add the number of distinct members of each entity; NULL for a NULL entity."""
-    per_entity = distinct_members(df, entity, member, name, rows="_rows")
-    return attach_per_key(df, per_entity, [entity], "_rows", hot_rows=hot_rows)
+    return attach_per_key(df, distinct_members(df, entity, member, name), [entity])
 
 
-def distinct_members(
-    df: DataFrame, entity: str, member: str, name: str, rows: str | None = None
-) -> DataFrame:
+def distinct_members(df: DataFrame, entity: str, member: str, name: str) -> DataFrame:
     """Distinct members per entity; members are folded per entity before counting.
 
-    ``member`` is a SQL expression; ``rows`` names an extra column with the row count.
+    ``member`` is a SQL expression.
     """
-    folded = (
-        df.selectExpr(quoted(entity), f"{member} AS _member")
-        .groupBy(entity, "_member")
-        .agg(F.count(F.lit(1)).alias("_rows_of_member"))
-    )
-    counts = [F.count("_member").alias(name)]
-    if rows:
-        counts.append(F.sum("_rows_of_member").alias(rows))
-    return folded.groupBy(entity).agg(*counts)
+    folded = df.selectExpr(quoted(entity), f"{member} AS _member").distinct()
+    return folded.groupBy(entity).agg(F.count("_member").alias(name))

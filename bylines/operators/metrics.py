@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bylines.functions.bins import EDGES, bin_of
 
+# The columns that identify an entity row.
 ENTITY_KEYS = (
     "doi",
     "year",
@@ -22,13 +23,15 @@ ENTITY_KEYS = (
 )
 
 
-def tally(df: DataFrame, keys: Sequence[str], multi: str | None = None, name: str = "n") -> DataFrame:
-    """Rows per key. ``multi`` is an array column of groups and a further key: rows are
-    counted per array first, and only the counts are exploded to single groups."""
+def tally(
+    df: DataFrame, keys: Sequence[str], multi: str | None = None, name: str = "n", weight: str | None = None
+) -> DataFrame:
+    """Rows per key, or the sum of their ``weight``. ``multi`` is an array column of groups and a
+    further key: rows are counted per array first, and only the counts are exploded to single groups."""
     if multi is None:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        return df.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias(name))
     return (
-        tally(df, [*keys, multi], name="_n")
+        tally(df, [*keys, multi], name="_n", weight=weight)
         .select(*keys, F.explode(multi).alias(multi), "_n")
         .groupBy(multi, *keys)
         .agg(F.sum("_n").alias(name))
@@ -44,21 +47,14 @@ def label_share(
 ) -> DataFrame:
     """Share of an entity's member rows holding each label that occurs in it.
 
-    Labels are counted before the shuffle to their entity. There the window meets one
-    row per label and category list; every category list gets the entity's counts.
+    The counts per entity and label are joined to the entity's distinct category lists, so each
+    row of the result is made once and holds one list.
     """
-    lists = f"collect_set(struct({categories}, {total})) OVER (PARTITION BY {entity}) AS _lists"
-    counts = (
-        facts.filter(f"{entity} IS NOT NULL")
-        .select(entity, categories, total, F.explode(labels).alias("label"))
-        .groupBy(entity, categories, total, "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .selectExpr(entity, "label", "n", lists)
-        .groupBy(entity, "label")
-        .agg(F.sum("n").alias("n"), F.first("_lists").alias("_lists"))
-    )
-    return counts.selectExpr(entity, "inline(_lists)", "label", "n").selectExpr(
-        "*", f"try_divide(n, {total}) AS share"
+    known = facts.filter(f"{entity} IS NOT NULL AND size({labels}) > 0")
+    counts = tally(known.select(entity, F.explode(labels).alias("label")), [entity, "label"])
+    lists = known.select(entity, categories, total).distinct()
+    return lists.join(counts, entity).selectExpr(
+        entity, categories, total, "label", "n", f"try_divide(n, {total}) AS share"
     )
 
 

@@ -115,7 +115,7 @@ VIEWS = {
                      'family': CASE WHEN l_partkey % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE p_type END}},
                    {{'seq': 3, 'auid': o_custkey + 200000000, 'given': concat('x', split_part(p_name, ' ', 1)),
                      'family': o_orderpriority}}] END AS au,
-                 o_orderstatus AS publication_type, o_orderpriority AS issn
+                 o_orderstatus AS publication_type, o_orderpriority AS issn, concat('Journal ', o_custkey % 5) AS journal
           FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)""",
     "listed": """
         SELECT * EXCLUDE (c, a), c.roles AS credit, a.seq AS position, a.auid AS auid, a.given AS name, a.family AS surname
@@ -313,23 +313,24 @@ ORACLE: dict[str, str] = {
            LEFT JOIN (SELECT doi, count(DISTINCT surname) AS surnames FROM roster GROUP BY doi) USING (doi)""",
         "roster",
     ),
-    "a8_curated_round_trip": with_views(
-        f"SELECT doi, year, {_text('subjareas', 'subjareas')}, aunum, auid, position, credit FROM author_role",
-        "author_role",
-    ),
     "a9_union": with_views(
         """SELECT doi, year, auid, array_to_string(credit, ', ') AS credit FROM listed
            UNION ALL SELECT doi, TRY_CAST(year AS INT), NULL, credit FROM contributions""",
         "listed", "contributions",
     ),
+    "a9_prefer_source": with_views(
+        """SELECT * FROM contributions WHERE doi NOT IN (
+             SELECT doi FROM listed WHERE publication_type = 'P' AND year IN (1996, 1997, 1998, 1999))""",
+        "listed", "contributions",
+    ),
     "curated": with_views(
         f"""SELECT eid, auid, name, surname, position, array_to_string(credit, ', ') AS credit, year,
-                   {_text('subjareas', 'subjareas')}, publication_type, doi, issn, issn AS journal, aunum
+                   {_text('subjareas', 'subjareas')}, publication_type, doi, issn, journal, aunum
             FROM listed JOIN (SELECT doi, count(DISTINCT auid) AS aunum FROM listed GROUP BY doi) USING (doi)
             WHERE publication_type = 'P' AND year IN (1996, 1997, 1998, 1999)
             UNION ALL
             SELECT eid, auid, cname, surname, position, credit, TRY_CAST(year AS INT), {_text('subjareas', 'subjareas')},
-                   publication_type, doi, issn, issn, aunum
+                   publication_type, doi, issn, journal, aunum
             FROM linked JOIN (SELECT doi, count(DISTINCT auid) AS aunum FROM linked GROUP BY doi) USING (doi)
                  JOIN (SELECT doi, count(DISTINCT concat_ws(' ', name, surname)) AS expected
                        FROM contributions GROUP BY doi) USING (doi)
@@ -337,7 +338,7 @@ ORACLE: dict[str, str] = {
         "listed", "contributions",
         extra={
             "flat": """
-              SELECT eid, doi, subjareas, publication_type, issn, a.auid AS auid, a.seq AS position,
+              SELECT eid, doi, subjareas, publication_type, issn, journal, a.auid AS auid, a.seq AS position,
                      upper(a.given) AS rname, upper(a.family) AS rsur, upper(left(a.given, 1)) AS rini
               FROM (SELECT *, unnest(au) AS a FROM articles WHERE publication_type = 'P')""",
             "said": """
@@ -363,18 +364,30 @@ ORACLE: dict[str, str] = {
                   upper(left(name, 1)) AS initial FROM contrib WHERE surname IS NOT NULL""",
         "contrib",
     ),
-    "b2_pairs": with_views("SELECT doi, CAST(count(*) AS DOUBLE) AS pairs FROM pairs GROUP BY doi", "pairs"),
+    "b2_pairs": with_views("SELECT doi, CAST(count(*) AS DECIMAL(38, 0)) AS pairs FROM pairs GROUP BY doi", "pairs"),
     "b2_pairs_surname": with_views(
-        """SELECT doi, csur AS surname, CAST(count(*) AS DOUBLE) AS pairs FROM pairs WHERE rsur = csur
+        """SELECT doi, csur AS surname, CAST(count(*) AS DECIMAL(38, 0)) AS pairs FROM pairs WHERE rsur = csur
            GROUP BY ALL""",
         "pairs",
     ),
     "b3_round1": _round(1),
     "b4_residual": with_views(
-        """SELECT doi, CAST(coalesce(n, 0) AS DOUBLE) AS pairs FROM (SELECT DISTINCT doi FROM pairs)
+        """SELECT doi, CAST(coalesce(n, 0) AS DECIMAL(38, 0)) AS pairs FROM (SELECT DISTINCT doi FROM pairs)
            LEFT JOIN (SELECT doi, count(*) AS n FROM open2 GROUP BY doi) USING (doi)""",
         "open2",
     ),
+    "b4_unresolved": with_views(
+        """SELECT 'roster' AS side, doi, auid, upper(name) AS name, upper(surname) AS surname,
+             CASE WHEN (doi, upper(surname)) IN (SELECT (doi, upper(surname)) FROM contrib)
+                  THEN 'ambiguous' ELSE 'no candidate' END AS reason
+           FROM roster WHERE (doi, auid, upper(name), upper(surname)) NOT IN (SELECT (doi, auid, rname, rsur) FROM matched)
+           UNION ALL
+           SELECT DISTINCT 'contributor', doi, NULL, upper(name), upper(surname),
+             CASE WHEN (doi, upper(surname)) IN (SELECT (doi, upper(surname)) FROM roster)
+                  THEN 'ambiguous' ELSE 'no candidate' END
+           FROM contrib WHERE (doi, upper(name), upper(surname)) NOT IN (SELECT (doi, cname, csur) FROM matched)""",
+        "matched", "roster", "contrib",
+    ),
     "b5_round2": _round(2),
     "b6_round3": _round(3),
     "b7_split": with_views(
@@ -411,12 +424,20 @@ ORACLE: dict[str, str] = {
         "SELECT year, code AS subjarea, count(DISTINCT doi) AS unique_dois FROM by_field GROUP BY ALL", "by_field"
     ),
     "d4_source_year": with_views(
-        "SELECT issn, issn AS journal, year, count(DISTINCT doi) AS unique_doi_count FROM articles GROUP BY ALL",
-        "articles",
+        """SELECT issn, journal, year, count(DISTINCT doi) AS unique_doi_count
+           FROM (SELECT *, unnest(subjareas) AS code FROM listed
+                 WHERE publication_type = 'P' AND year IN (1996, 1997, 1998, 1999)) GROUP BY issn, journal, year""",
+        "listed",
     ),
     "d5_members": with_views("SELECT doi, v AS num_au FROM num_au", "num_au"),
     "d6_members_group": with_views("SELECT fields, doi, v AS num_au FROM num_au_field", "num_au_field"),
     "d7_labels": with_views("SELECT doi, v AS num_credit FROM num_credit", "num_credit"),
+    "d7_labels_allowed": with_views(
+        f"""SELECT doi, count(DISTINCT canonical) AS num_credit
+            FROM (SELECT doi, CASE label {_CANONICAL} ELSE label END AS canonical FROM labels_by_field)
+            WHERE canonical IN ({_VOCAB}) GROUP BY doi""",
+        "labels_by_field",
+    ),
     "d8_labels_group": with_views("SELECT fields, doi, v AS num_credit FROM num_credit_field", "num_credit_field"),
     "d9_summary_members": _summary("num_au"),
     "d9_summary_labels": _summary("num_credit"),
@@ -549,3 +570,5 @@ ORACLE: dict[str, str] = {
     "g6_chi2_group": _chi2("indicator_grouped", "position2", "label", "discipline", "held = 1"),
     "g7_chi2_group_label": _chi2("indicator_grouped", "held", "position2", "discipline, label"),
 }
+# What was written and read again is the table itself.
+ORACLE["a8_curated_round_trip"] = ORACLE["curated"]

@@ -89,12 +89,23 @@ def a7_attach_count(spark, sf_dir):
     return attach_distinct_count(rows, "doi", "surname", "surnames")
 
 
+def _curated(spark, sf_dir):
+    articles = V.articles(spark, sf_dir)
+    return curated_table(articles, articles, V.contributions(spark, sf_dir), TYPES, YEARS)
+
+
+def _flat(rows):
+    return rows.selectExpr(
+        "eid", "auid", "name", "surname", "position", "credit", "year", text("subjareas"),
+        "publication_type", "doi", "issn", "source.sourcetitle AS journal", "aunum",
+    )
+
+
 @query
 def a8_curated_round_trip(spark, sf_dir):
     path = tables.scratch_path(spark, "curated")
-    tables.write_curated(V.author_role(spark, sf_dir), path)
-    back = tables.read_curated(spark, path)
-    return back.selectExpr("doi", "year", text("subjareas"), "aunum", "auid", "position", "credit")
+    tables.write_curated(_curated(spark, sf_dir), path)
+    return _flat(tables.read_curated(spark, path))
 
 
 @query
@@ -106,14 +117,15 @@ def a9_union(spark, sf_dir):
     return A.unify_sources(listed, joined, casts={"year": "int"})
 
 
+@query
+def a9_prefer_source(spark, sf_dir):
+    listed = structured_roles(V.articles(spark, sf_dir), TYPES, YEARS)
+    return A.prefer_source(listed, V.contributions(spark, sf_dir))
+
+
 @query
 def curated(spark, sf_dir):
-    articles = V.articles(spark, sf_dir)
-    rows = curated_table(articles, articles, V.contributions(spark, sf_dir), TYPES, YEARS)
-    return rows.selectExpr(
-        "eid", "auid", "name", "surname", "position", "credit", "year", text("subjareas"),
-        "publication_type", "doi", "issn", "source.sourcetitle AS journal", "aunum",
-    )
+    return _flat(_curated(spark, sf_dir))
 
 
 # Linkage
@@ -159,6 +171,17 @@ def b4_residual(spark, sf_dir):
     return B.residual_counts(left, right, _linked(spark, sf_dir, 1), "doi")
 
 
+@query
+def b4_unresolved(spark, sf_dir):
+    roster, said = V.roster(spark, sf_dir), V.contrib(spark, sf_dir)
+    members, contributors = B.unresolved(roster, said, _linked(spark, sf_dir, 4))
+    sides = [
+        rows.selectExpr(f"'{side}' AS side", "doi", auid, f"name_{side} AS name", f"surname_{side} AS surname", "reason")
+        for side, rows, auid in (("roster", members, "auid"), ("contributor", contributors, "NULL AS auid"))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
 @query
 def b5_round2(spark, sf_dir):
     return _round(spark, sf_dir, 2)
@@ -201,10 +224,7 @@ def _by_code(spark, sf_dir):
     return rows.selectExpr("doi", "auid", "position", "year", "explode(subjareas) AS subjarea")
 
 
-def _by_field(spark, sf_dir):
-    """Rows once per field; the codes of a row are folded to fields before exploding."""
-    rows = V.author_role(spark, sf_dir)
-    return rows.selectExpr("*", f"explode({G.default_groups_of('subjareas')}) AS fields")
+FIELDS = {"fields": G.default_groups_of("subjareas")}
 
 
 def _coded(spark, sf_dir):
@@ -233,7 +253,7 @@ def d1_year(spark, sf_dir):
 
 @query
 def d2_year_group(spark, sf_dir):
-    return D.distinct_by(_by_field(spark, sf_dir), ["year", "fields"], "doi", "unique_dois")
+    return D.distinct_by(V.author_role(spark, sf_dir), ["year"], "doi", "unique_dois", FIELDS)
 
 
 @query
@@ -243,7 +263,8 @@ def d3_year_category(spark, sf_dir):
 
 @query
 def d4_source_year(spark, sf_dir):
-    rows = V.articles(spark, sf_dir).selectExpr("issn", "source.sourcetitle AS journal", "Year AS year", "doi")
+    rows = structured_roles(V.articles(spark, sf_dir), TYPES, YEARS)
+    rows = rows.selectExpr("issn", "source.sourcetitle AS journal", "year", "doi", "explode(subjareas) AS subjarea")
     return D.distinct_by(rows, ["issn", "journal", "year"], "doi", "unique_doi_count")
 
 
@@ -252,7 +273,7 @@ def _members(spark, sf_dir):
 
 
 def _members_by_field(spark, sf_dir):
-    return D.size_per(_by_field(spark, sf_dir), "doi", "auid", "num_au", ["fields"])
+    return D.size_per(V.author_role(spark, sf_dir), "doi", "auid", "num_au", multi=FIELDS)
 
 
 def _labels(spark, sf_dir):
@@ -260,7 +281,7 @@ def _labels(spark, sf_dir):
 
 
 def _labels_by_field(spark, sf_dir):
-    return D.labels_per(_by_field(spark, sf_dir), "doi", "credit", "num_credit", ["fields"])
+    return D.labels_per(V.author_role(spark, sf_dir), "doi", "credit", "num_credit", multi=FIELDS)
 
 
 @query
@@ -278,6 +299,12 @@ def d7_labels(spark, sf_dir):
     return _labels(spark, sf_dir)
 
 
+@query
+def d7_labels_allowed(spark, sf_dir):
+    rows = _coded(spark, sf_dir)
+    return D.labels_per(rows, "doi", "credit", "num_credit", vocab=V.VOCAB, aliases=V.ALIASES)
+
+
 @query
 def d8_labels_group(spark, sf_dir):
     return _labels_by_field(spark, sf_dir)

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 import statistics
 
 import pytest
 
 from bylines.operators.counts import distinct_by, labels_per, mode, size_per, summarise
 
+from conftest import settings
+
 
 def test_mode_ties_take_the_smallest(spark):
     df = spark.createDataFrame([(v,) for v in [3, 1, 3, 1, 2]], "v int")
@@ -38,3 +41,43 @@ def test_distinct_counts(spark):
     df = spark.createDataFrame(rows, "eid string, auid int, y int")
     assert {r["y"]: r["n"] for r in distinct_by(df, ["y"], "eid").collect()} == {2020: 1, 2021: 2}
     assert {r["eid"]: r["n"] for r in size_per(df, "eid", "auid", "n").collect()} == {"a": 2, "b": 0}
+
+
+def test_summary_of_nothing_and_of_nulls(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2)], "g string, v int")
+    for exact in (False, True):
+        (row,) = summarise(df.filter("g = 'c'"), "v", exact=exact).collect()
+        assert set(row) == {None}
+        rows = {r["g"]: (r["max"], r["mode"]) for r in summarise(df, "v", ["g"], exact=exact).collect()}
+        assert rows == {"a": (None, None), "b": (2, 2)}
+
+
+def test_summary_of_many_values_has_no_single_task(spark):
+    """Two million levels, negative ones and a group key of NULL; only totals of buckets meet in one place."""
+    df = spark.range(0, 2_000_000, 1, 8).selectExpr("CAST(NULL AS STRING) AS g", "id - 1000000 AS v")
+    row = summarise(df, "v", ["g"], exact=True).head()
+    assert [row[c] for c in ("min", "q1", "median", "q3", "max")] == [-1000000, -500001, -1, 499999, 999999]
+    assert row["mode"] == -1000000
+    with settings(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for frame in (summarise(df, "v", exact=True), summarise(df, "v"), mode(df, "v")):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            # Whatever meets in one partition was aggregated before.
+            for below in re.findall(r"Exchange SinglePartition.*\n[ :|+-]*(?:\*\(\d+\) )?(\w+)", plan):
+                assert below.endswith("Aggregate")
+            assert "CartesianProduct" not in plan
+            assert "NestedLoop" not in plan
+
+
+def test_several_groups_of_a_row(spark):
+    rows = [("a", 1, ["x", "y"], "p, q"), ("a", 2, ["x"], "q"), ("a", 1, ["x", "y"], "p, q"), ("b", 3, [], "p")]
+    df = spark.createDataFrame(rows, "eid string, auid int, g array<string>, credit string")
+    sizes = {(r["f"], r["eid"]): r["n"] for r in size_per(df, "eid", "auid", "n", multi={"f": "g"}).collect()}
+    assert sizes == {("x", "a"): 2, ("y", "a"): 1}
+    labels = {(r["f"], r["eid"]): r["n"] for r in labels_per(df, "eid", "credit", "n", multi={"f": "g"}).collect()}
+    assert labels == {("x", "a"): 2, ("y", "a"): 2}
+
+
+def test_allowed_labels_only(spark):
+    df = spark.createDataFrame([("a", "x, old, z"), ("a", "new"), ("b", "z")], "eid string, credit string")
+    got = labels_per(df, "eid", "credit", "n", vocab=["x", "new"], aliases={"old": "new"}).collect()
+    assert [(r["eid"], r["n"]) for r in got] == [("a", 2)]
