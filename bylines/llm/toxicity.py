@@ -10,7 +10,8 @@ Scores come from the restored words. A feature (a word, or its first four to sev
 smoothed share of toxic texts among the labelled texts that hold it, counted once per family of near
 copies. A logistic regression weighs the three highest shares among a text's words and the number of
 its words. It is fitted on shares that the other half of the families gave, so that rare words are
-not taken for better evidence than they are.
+not taken for better evidence than they are. A feature whose share is at least ``DECISIVE`` even at
+the lower end of a wide confidence interval decides alone: one such word in a long text is enough.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from bylines.llm.common import map_text, text_slices, texts
 SAMPLE = 20_000  # most labelled rows that the shares are fitted on
 PRIOR = 4.0  # texts that the base rate counts as
 LEAST = 0.25  # share from which a feature is kept; lower ones count as the base rate
+DECISIVE = 0.9  # lower bound of a share that decides alone
+WIDTH = 3.0  # standard deviations to that bound
 BEST = 3  # words of a text that count
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -45,6 +48,7 @@ LOOKS = {
 SEPARATORS = ".-_*~'·"  # characters that may stand for nothing inside a word
 LOOK, REPEAT, NOTHING = 1.5, 0.5, 1.0  # costs, in nats
 
+LONG_RUN = re.compile(r"(.)\1{3,}")
 LETTERS = 28  # boundary, a to z, any other letter
 ORDER = 4
 
@@ -119,30 +123,43 @@ class Model:
     costs: np.ndarray
     shares: dict[str, float]
     base: float
+    sure: dict[str, float]
     weights: np.ndarray | None = None
 
     def restore(self, token: str) -> str:
-        """The cheapest reading of a stripped, lower-case token."""
+        """The cheapest reading of a stripped, lower-case token; of equally cheap ones the first found.
+
+        Runs of more than three equal characters count as three. Time and memory grow with the length.
+        """
+        token = LONG_RUN.sub(r"\1\1\1", token)
         costs, size = self.costs, len(token)
-        # At each place: the last three classes to (cost, reading).
-        states: list[dict[tuple[int, int, int], tuple[float, str]]] = [{} for _ in range(size + 1)]
-        states[0][0, 0, 0] = (0.0, "")
+        # At each place: the last three classes to the cost and the letters so far, linked backwards.
+        states: list[dict] = [{} for _ in range(size + 1)]
+        states[0][0, 0, 0] = (0.0, None)
         for at in range(size):
             arcs = _arcs(token, at)
-            for context, (cost, text) in states[at].items():
+            for context, (cost, path) in states[at].items():
                 for taken, letters, price in arcs:
                     here, total = context, cost + price
                     for letter in letters:
                         symbol = _class(letter)
                         total += float(costs[here][symbol])
                         here = (*here[1:], symbol)
-                    new = (total, text + letters)
                     old = states[at + taken].get(here)
-                    if old is None or new < old:
-                        states[at + taken][here] = new
+                    if old is None or total < old[0]:
+                        states[at + taken][here] = (total, (path, letters))
             states[at] = {}
-        ends = [(cost + float(costs[context][0]), text) for context, (cost, text) in states[size].items()]
-        return min(ends)[1] if ends else token
+        if not states[size]:
+            return token
+        _, path = min(
+            ((cost + float(costs[context][0]), path) for context, (cost, path) in states[size].items()),
+            key=lambda end: end[0],
+        )
+        parts = []
+        while path:
+            path, letters = path
+            parts.append(letters)
+        return "".join(reversed(parts))
 
     def features(self, token: str) -> list[str]:
         """Features of a raw lower-case token, restored first if it looks obfuscated."""
@@ -151,17 +168,22 @@ class Model:
             word = self.restore(word)
         return word_features(word)
 
-    def evidence(self, token: str) -> tuple[float, str] | None:
-        """The highest share among a token's features and the restored word, if it exceeds the base rate."""
+    def evidence(self, token: str) -> tuple[float, float, str] | None:
+        """The highest share among a token's features, its bound if that decides, and the restored word.
+
+        None if no feature's share exceeds the base rate.
+        """
         features = self.features(token)
         share = max((self.shares.get(f, 0.0) for f in features), default=0.0)
-        return (share, features[0]) if share > self.base else None
+        if share <= self.base:
+            return None
+        return share, max(self.sure.get(f, 0.0) for f in features), features[0]
 
-    def summary(self) -> Callable[[str], list[float]]:
-        """A function from texts to what the regression weighs."""
-        memory: dict[str, tuple[float, str] | None] = {}
+    def summary(self) -> Callable[[str], tuple[list[float], float]]:
+        """A function from texts to what the regression weighs, and the highest bound that decides alone or 0."""
+        memory: dict[str, tuple[float, float, str] | None] = {}
 
-        def summarise(text: str) -> list[float]:
+        def summarise(text: str) -> tuple[list[float], float]:
             if len(memory) > KNOWN:
                 memory.clear()
             tokens = tokens_of(text)
@@ -169,9 +191,9 @@ class Model:
                 memory[token] = self.evidence(token)
             found = set(map(memory.__getitem__, tokens))
             found.discard(None)
-            shares = sorted((share for share, _ in found), reverse=True)[:BEST]
+            shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
             odds = [_logit(s) for s in [*shares, *[self.base] * (BEST - len(shares))]]
-            return [*odds, float(np.log1p(len(tokens))), 1.0]
+            return [*odds, float(np.log1p(len(tokens))), 1.0], max((sure for _, sure, _ in found), default=0.0)
 
         return summarise
 
@@ -181,7 +203,8 @@ class Model:
         def score(text: str) -> float:
             if self.weights is None:
                 return self.base
-            return float(1 / (1 + np.exp(-np.dot(self.weights, summarise(text)))))
+            x, sure = summarise(text)
+            return max(sure, float(1 / (1 + np.exp(-np.dot(self.weights, x)))))
 
         return score
 
@@ -213,9 +236,7 @@ def _class(letter: str) -> int:
 def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
     """Ways on from a place: characters taken, letters they stand for, cost."""
     char, arcs = token[at], []
-    run = 1
-    while at + run < len(token) and token[at + run] == char:
-        run += 1
+    run = 3 if token[at : at + 3] == char * 3 else 2 if token[at : at + 2] == char * 2 else 1
     first = at == 0 or token[at - 1] != char
     readings = [(char, 0.0)] if char.isalpha() else []
     readings += [(letter, LOOK) for letter in LOOKS.get(char, "")]
@@ -280,7 +301,7 @@ def fit(
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
     grams = count_letters(rows).toPandas()  # at most 28^4 rows
     costs = letter_costs(grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64))
-    plain = Model(costs, {}, 0.0)
+    plain = Model(costs, {}, 0.0, {})
     given = (
         labels.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{label}` AS int) AS toxic")
         .filter(f"doc_id IS NOT NULL AND toxic IN (0, 1) AND ({learnable})")
@@ -330,7 +351,7 @@ def fit(
         def summarise(part: pa.RecordBatch) -> pa.RecordBatch:
             raws = texts(part)
             own = [family(raw) for raw in raws]
-            x = [by_half[f & 1](raw.decode()) for f, raw in zip(own, raws, strict=True)]
+            x = [by_half[f & 1](raw.decode())[0] for f, raw in zip(own, raws, strict=True)]
             columns = [part.column("toxic"), pa.array(own, pa.int64()), pa.array(x, pa.list_(pa.float64()))]
             return pa.RecordBatch.from_arrays(columns, ["toxic", "family", "x"])
 
@@ -340,7 +361,7 @@ def fit(
     weight = 1 / rows_.groupby("family")["family"].transform("size").to_numpy(np.float64)
     x, y = np.array(rows_["x"].tolist(), np.float64), rows_["toxic"].to_numpy(np.float64)
     whole = models[-1]
-    return Model(costs, whole.shares, whole.base, regression(x, y, weight))
+    return Model(costs, whole.shares, whole.base, whole.sure, regression(x, y, weight))
 
 
 def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) -> Model:
@@ -351,7 +372,13 @@ def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) ->
     base = float(bad[everything].sum() / max(1.0, n[everything].sum()))
     share = (bad + PRIOR * base) / (n + PRIOR)
     kept = (share >= LEAST) & (share > base) & ~everything
-    return Model(costs, dict(zip(found["feature"][kept], share[kept].tolist(), strict=True)), base)
+    names = found["feature"].to_numpy()
+    # Wilson's bound: the least share that the counts are still credible for.
+    p, z = bad / np.maximum(n, 1), WIDTH**2 / np.maximum(n, 1)
+    bound = (p + z / 2 - np.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)
+    sure = kept & (bound >= DECISIVE)
+    chosen = [dict(zip(names[k], v[k].tolist(), strict=True)) for k, v in ((kept, share), (sure, bound))]
+    return Model(costs, chosen[0], base, chosen[1])
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
