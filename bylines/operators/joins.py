@@ -53,7 +53,8 @@ def attach_per_key(
     shares = dealt.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
     joined = dealt.join(shares.join(of_key, "_key"), ["_key", "_salt"], how)
     # NULL keys met each other as parts of structs; their values are taken back here.
-    return joined.selectExpr(*columns, *[f"CASE WHEN {known} THEN _value.{quoted(v)} END AS {quoted(v)}" for v in values])
+    found = [f"CASE WHEN {known} THEN _value.{quoted(v)} END AS {quoted(v)}" for v in values]
+    return joined.selectExpr(*columns, *found)
 
 
 def attach_distinct_count(df: DataFrame, entity: str, member: str, name: str) -> DataFrame:

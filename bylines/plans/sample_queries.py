@@ -176,7 +176,9 @@ def b4_unresolved(spark, sf_dir):
     roster, said = V.roster(spark, sf_dir), V.contrib(spark, sf_dir)
     members, contributors = B.unresolved(roster, said, _linked(spark, sf_dir, 4))
     sides = [
-        rows.selectExpr(f"'{side}' AS side", "doi", auid, f"name_{side} AS name", f"surname_{side} AS surname", "reason")
+        rows.selectExpr(
+            f"'{side}' AS side", "doi", auid, f"name_{side} AS name", f"surname_{side} AS surname", "reason"
+        )
         for side, rows, auid in (("roster", members, "auid"), ("contributor", contributors, "NULL AS auid"))
     ]
     return sides[0].unionByName(sides[1])

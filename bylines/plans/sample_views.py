@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bylines.functions import labels as L
 from bylines.functions import sql
 from bylines.operators.facts import build_facts, member_facts, with_position_class
 

@@ -38,7 +38,9 @@ def test_no_sort_aggregate(spark, name):
     assert "SortAggregate" not in physical(spark, name)
 
 
-@pytest.mark.parametrize("name", ["d2_year_group", "d6_members_group", "d8_labels_group", "g5_chi2_label", "g7_chi2_group_label"])
+@pytest.mark.parametrize(
+    "name", ["d2_year_group", "d6_members_group", "d8_labels_group", "g5_chi2_label", "g7_chi2_group_label"]
+)
 def test_rows_are_aggregated_before_they_are_opened(spark, name):
     """Every generator of groups or labels stands above an aggregate, so it opens distinct rows or counts."""
     lines = physical(spark, name).splitlines()
