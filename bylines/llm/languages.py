@@ -74,9 +74,13 @@ def train(texts: list[tuple[str, str]]) -> Field | None:
         [one, other] if i % 2 and one[1] != other[1] else [one]
         for i, (one, other) in enumerate(zip(pieces, others, strict=True))
     ]
-    words = [w for sequence in sequences for piece, _ in sequence for w in piece]
-    gold = [languages.index(own) for sequence in sequences for piece, own in sequence for _ in piece]
-    first = [k == 0 and i == 0 for sequence in sequences for k, (piece, _) in enumerate(sequence) for i in range(len(piece))]
+    words, gold, first = [], [], []
+    for sequence in sequences:
+        begin = len(words)
+        for piece, own in sequence:
+            words += piece
+            gold += [languages.index(own)] * len(piece)
+        first += [i == begin for i in range(begin, len(words))]
     features = [word_features(w) for w in words]
     often = sorted(f for f, n in Counter(chain.from_iterable(features)).items() if n >= OFTEN)
     index = {f: i for i, f in enumerate(often)}

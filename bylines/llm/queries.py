@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bylines.llm import decontamination, exact_dedup, languages, licenses, packing, secrets, simhash, substring_dedup, token_counts, toxicity
+from bylines.llm import (
+    decontamination,
+    exact_dedup,
+    languages,
+    licenses,
+    packing,
+    secrets,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from bylines.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -62,9 +73,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
     model = toxicity.fit(docs, labels, learnable=f"NOT ({HELD_OUT_TOXICITY})")
     found = toxicity.score_texts(docs, model)
-    return found.selectExpr(
-        "doc_id", f"{HELD_OUT_TOXICITY} AS held_out", "score", f"CAST(score >= {toxicity.THRESHOLD} AS int) AS predicted"
-    )
+    predicted = f"CAST(score >= {toxicity.THRESHOLD} AS int) AS predicted"
+    return found.selectExpr("doc_id", f"{HELD_OUT_TOXICITY} AS held_out", "score", predicted)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

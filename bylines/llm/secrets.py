@@ -330,7 +330,9 @@ def with_tagged(text: str, base: list[Span], tags: list[int]) -> list[Span]:
     return in_order(spans)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, pool: int = POOL) -> Field:
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, pool: int = POOL
+) -> Field:
     """The field, trained on at most ``sample`` texts with base secrets and as many without.
 
     They are sought among ``pool`` texts, those with the least hashes of their ids.

@@ -57,7 +57,8 @@ def test_restored_words(documents):
 
 
 def test_one_sure_word_is_enough():
-    model = toxicity.Model(np.zeros([28] * 4, np.float32), {"vile": 0.95}, 0.1, {"vile": 0.93}, np.array([0.0] * 4 + [-9.0]))
+    costs, weights = np.zeros([28] * 4, np.float32), np.array([0.0] * 4 + [-9.0])
+    model = toxicity.Model(costs, {"vile": 0.95}, 0.1, {"vile": 0.93}, weights)
     assert model.scorer()("word " * 5000 + "vile.") == 0.93
     assert model.scorer()("word " * 5000) < 0.01
 
