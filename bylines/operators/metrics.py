@@ -48,11 +48,15 @@ def label_share(
     """Share of an entity's member rows holding each label that occurs in it.
 
     The counts per entity and label are joined to the entity's distinct category lists, so each
-    row of the result is made once and holds one list.
+    row of the result is made once and holds one list. Both come from one count per list and
+    label; keeping the count in either lets them share its shuffle.
     """
-    known = facts.filter(f"{entity} IS NOT NULL AND size({labels}) > 0")
-    counts = tally(known.select(entity, F.explode(labels).alias("label")), [entity, "label"])
-    lists = known.select(entity, categories, total).distinct()
+    counted = tally(
+        facts.filter(f"{entity} IS NOT NULL").select(entity, categories, total, F.explode(labels).alias("label")),
+        [entity, categories, total, "label"],
+    )
+    counts = tally(counted, [entity, "label"], weight="n")
+    lists = tally(counted, [entity, categories, total], name="_rows", weight="n").filter("_rows > 0")
     return lists.join(counts, entity).selectExpr(
         entity, categories, total, "label", "n", f"try_divide(n, {total}) AS share"
     )
