@@ -54,8 +54,12 @@ def attach(rows: DataFrame, values: DataFrame, key: str, spread: str, salts: int
 
 
 def text_slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``size`` bytes of text each, so that memory doesn't follow text length."""
-    lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+    """Parts of a batch with about ``size`` bytes of text each, so that memory doesn't follow text length.
+
+    ``text`` is the column of texts, or one of their sizes.
+    """
+    column = batch.column(text)
+    lengths = (column if pa.types.is_integer(column.type) else pa.compute.binary_length(column)).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         held += n or 0
