@@ -32,6 +32,7 @@ from bylines.llm.common import map_text, text_slices, texts
 SAMPLE = 20_000  # most labelled rows that the shares are fitted on
 PRIOR = 4.0  # texts that the base rate counts as
 LEAST = 0.25  # share from which a feature is kept; lower ones count as the base rate
+SUPPORT = 3  # toxic families that must hold a feature
 DECISIVE = 0.9  # lower bound of a share that decides alone
 WIDTH = 3.0  # standard deviations to that bound
 BEST = 3  # words of a text that count
@@ -252,7 +253,7 @@ def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case tokens; three or more single characters in a row, the last perhaps with a sign, also joined."""
+    """Distinct lower-case tokens; three or more single characters in a row also count joined."""
     words = text.lower().split()
     tokens = set(words)
     if len(words) > 2:
@@ -339,7 +340,8 @@ def fit(
         *[F.expr(f"count_if({half} = {k})").alias(f"n{k}") for k in (0, 1)],
         *[F.expr(f"count_if(toxic = 1 AND {half} = {k})").alias(f"bad{k}") for k in (0, 1)],
     )
-    worthy = f"feature = '' OR (bad0 + bad1 > 1 AND (bad0 + bad1) >= {LEAST / 2} * (n0 + n1))"
+    bad = "(bad0 + bad1)"
+    worthy = f"feature = '' OR ({bad} >= {SUPPORT} AND {bad} >= {LEAST / 2} * (n0 + n1))"
     found = counted.filter(worthy).toPandas()  # bounded by the sample
     models = [_shares(costs, found, keep) for keep in ((1,), (0,), (0, 1))]
     if not models[-1].base:
@@ -376,7 +378,8 @@ def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) ->
     # Wilson's bound: the least share that the counts are still credible for.
     p, z = bad / np.maximum(n, 1), WIDTH**2 / np.maximum(n, 1)
     bound = (p + z / 2 - np.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)
-    sure = kept & (bound >= DECISIVE)
+    short = np.array([len(f) <= PREFIXES[0] + 1 and f.endswith("*") for f in names], bool)  # too easily met by chance
+    sure = kept & (bound >= DECISIVE) & ~short
     chosen = [dict(zip(names[k], v[k].tolist(), strict=True)) for k, v in ((kept, share), (sure, bound))]
     return Model(costs, chosen[0], base, chosen[1])
 
@@ -389,7 +392,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
         def scored(part: pa.RecordBatch) -> pa.RecordBatch:
             scores = [score(t or "") for t in part.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            columns = [part.column("doc_id"), pa.array(scores, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "score"])
 
         return scored
 
