@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +196,35 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def wrapped(text, prefix="", width=60):
+    return "\n".join(textwrap.wrap(text, width, initial_indent=prefix, subsequent_indent=prefix))
+
+
+def test_whole_licenses_and_headers(spark):
+    mit, bsd, gpl = licenses.MIT_GRANT, licenses.BSD_GRANT, dict(licenses.WHOLE)["GPL-3.0"]
+    header = licenses.gnu_header("", "3")[1]
+    code = "\n".join(f"x{i} = call(y{i}, {i})" for i in range(40))
+    rows = [
+        ("grant", mit, ["MIT"]),
+        ("isc", wrapped(licenses.ISC_GRANT), ["ISC"]),
+        ("bsd", bsd, ["BSD-3-Clause"]),
+        ("file", f"MIT License\n\nCopyright (c) 2020 A. Body\n\n{wrapped(mit + licenses.MIT_REST)}\n", ["MIT"]),
+        ("two", wrapped(bsd + licenses.BSD_TWO + licenses.BSD_REST, " * "), ["BSD-2-Clause"]),
+        ("source", f"{wrapped(header, '# ')}\n{code}", ["GPL-3.0"]),
+        ("apache", f"{code}\n{wrapped(licenses.APACHE_GRANT, '// ')}\n{code}", ["Apache-2.0"]),
+        ("both", f"{wrapped(mit)}\n{code}\n{wrapped(licenses.APACHE_GRANT)}", ["MIT", "Apache-2.0"]),
+        ("tag", f"// SPDX-License-Identifier: MIT\n{code}", ["MIT"]),
+        ("later", f"{code}\n# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        ("broken", "This work is licensed under the GNU\nGeneral Public License,\nversion 3.", ["GPL-3.0"]),
+        ("whole", gpl, ["GPL-3.0"]),
+        ("within", f"{code}\n{gpl}\n{code}", ["GPL-3.0"]),
+        ("prose", "Permission was granted by the software person to use the copyright of this work.", []),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string"))
+    found = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in got.collect()}
+    assert found == {name: want for name, _, want in rows}
+
+
 def test_size_bounds_lose_no_match(spark, documents, texts):
     """Every statement against every template, whatever its size."""
     built = [(n, set(licenses.bigrams(t))) for n, t in licenses.TEMPLATES]
