@@ -1,10 +1,12 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 The channel turns letters into look-alikes, repeats them, or puts separators or spaces between them.
-A token that looks so written spans a lattice: every character may stand for itself, for letters it
-resembles, or for nothing; a run may stand for one or two letters. A Viterbi search finds the reading
-that is cheapest under the channel and a character language model. The model counts letter 4-grams
-over all documents, so what it gathers grows with the corpus, and its table has a fixed size.
+A token with signs, digits or doubled letters spans a lattice: every character may stand for itself, for
+letters it resembles, or for nothing; a run may stand for one or two letters. A Viterbi search finds the
+reading that is cheapest under the channel and a character language model. Signs around a token that look
+like letters are read with it, without it, or as the search decides; the reading with most evidence counts.
+The model counts letter 4-grams over all documents, so what it gathers grows with the corpus, and its
+table has a fixed size.
 
 Scores come from the restored words. A feature (a word, or its first four to seven letters) has the
 smoothed share of toxic texts among the labelled texts that hold it, counted once per family of near
@@ -49,7 +51,10 @@ LOOKS = {
 SEPARATORS = ".-_*~'·"  # characters that may stand for nothing inside a word
 LOOK, REPEAT, NOTHING = 1.5, 0.5, 1.0  # costs, in nats
 
+ALIKE = "".join(c for c in LOOKS if not c.isalnum())
+
 LONG_RUN = re.compile(r"(.)\1{3,}")
+DOUBLED = re.compile(r"(.)\1")
 LETTERS = 28  # boundary, a to z, any other letter
 ORDER = 4
 
@@ -103,20 +108,30 @@ def letter_costs(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def suspicious(token: str) -> bool:
-    """Whether a stripped token mixes letters with signs, or has three equal letters in a row."""
-    return any(c.isalpha() for c in token) and (not token.isalpha() or bool(re.search(r"(.)\1\1", token)))
+    """Whether a stripped token can be read in another way: it has signs or digits, or equal letters in a row."""
+    if token.isalpha():
+        return bool(DOUBLED.search(token))
+    return any(c.isalpha() or c in LOOKS for c in token)
 
 
-def stripped(token: str) -> str:
-    """A token without the signs around it; look-alikes of letters stay in front."""
+def stripped(token: str, looks: str = "@$€£", behind: str = "") -> str:
+    """A token without the signs around it, but for ``looks`` in front and ``behind`` at the end."""
     start, end = 0, len(token)
-    while end > start and not token[end - 1].isalnum():
+    while end > start and not token[end - 1].isalnum() and token[end - 1] not in behind:
         end -= 1
-    while start < end and not token[start].isalnum() and token[start] not in "@$€£":
+    while start < end and not token[start].isalnum() and token[start] not in looks:
         start += 1
     return token[start:end]
 
 
+def readings(token: str) -> list[str]:
+    """A token without the signs around it, and with those of them that look like letters in front, behind or both."""
+    if token.isalnum():
+        return [token]
+    sides = (("", ""), (ALIKE, ""), ("", ALIKE), (ALIKE, ALIKE))
+    return list(dict.fromkeys(stripped(token, front, behind) for front, behind in sides))
+
+
 @dataclass
 class Model:
     """Letter costs, features and weights; of fixed size, or bounded by the sample."""
@@ -127,18 +142,22 @@ class Model:
     sure: dict[str, float]
     weights: np.ndarray | None = None
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str, loose: bool = False) -> str:
         """The cheapest reading of a stripped, lower-case token; of equally cheap ones the first found.
 
         Runs of more than three equal characters count as three. Time and memory grow with the length.
+        If ``loose``, signs around the token may stand for nothing.
         """
         token = LONG_RUN.sub(r"\1\1\1", token)
         costs, size = self.costs, len(token)
         # At each place: the last three classes to the cost and the letters so far, linked backwards.
         states: list[dict] = [{} for _ in range(size + 1)]
         states[0][0, 0, 0] = (0.0, None)
+        bare = [at for at, c in enumerate(token) if c.isalnum()] or [size]
         for at in range(size):
             arcs = _arcs(token, at)
+            if loose and not bare[0] <= at <= bare[-1]:
+                arcs.append((1, "", NOTHING))
             for context, (cost, path) in states[at].items():
                 for taken, letters, price in arcs:
                     here, total = context, cost + price
@@ -163,22 +182,34 @@ class Model:
         return "".join(reversed(parts))
 
     def features(self, token: str) -> list[str]:
-        """Features of a raw lower-case token, restored first if it looks obfuscated."""
-        word = stripped(token)
-        if suspicious(word):
-            word = self.restore(word)
-        return word_features(word)
+        """Distinct features of the words that a raw lower-case token may stand for."""
+        return list(dict.fromkeys(f for word in self.words(token) for f in word_features(word)))
+
+    def words(self, token: str) -> list[str]:
+        """What a raw lower-case token may stand for: its readings, restored, and itself if it is all letters."""
+        found = []
+        for word in readings(token):
+            if suspicious(word):
+                found.append(self.restore(word))
+            if not suspicious(word) or word.isalpha():
+                found.append(word)
+        if len(word) > 1 and not (word[0].isalnum() and word[-1].isalnum()):
+            found.append(self.restore(word, loose=True))  # the last reading has all signs
+        return list(dict.fromkeys(found))
 
     def evidence(self, token: str) -> tuple[float, float, str] | None:
-        """The highest share among a token's features, its bound if that decides, and the restored word.
+        """The highest share among the features of a token's words, its bound if that decides, and the word.
 
         None if no feature's share exceeds the base rate.
         """
-        features = self.features(token)
-        share = max((self.shares.get(f, 0.0) for f in features), default=0.0)
-        if share <= self.base:
-            return None
-        return share, max(self.sure.get(f, 0.0) for f in features), features[0]
+        best = None
+        for word in self.words(token):
+            features = word_features(word)
+            share = max((self.shares.get(f, 0.0) for f in features), default=0.0)
+            if share > self.base:
+                own = share, max(self.sure.get(f, 0.0) for f in features), word
+                best = max(best or own, own, key=lambda e: (e[1], e[0]))
+        return best
 
     def summary(self) -> Callable[[str], tuple[list[float], float]]:
         """A function from texts to what the regression weighs, and the highest bound that decides alone or 0."""
@@ -245,6 +276,8 @@ def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
         arcs.append((1, letter, price))
         if first and run > 1:
             arcs.append((run, letter, price + REPEAT))
+        if first and run == 2 and price:
+            arcs.append((run, letter * 2, price))  # one habit of writing, seen twice
         if first and run > 2:
             arcs.append((run, letter * 2, price + REPEAT))
     if char in SEPARATORS or not readings:

@@ -56,6 +56,18 @@ def test_restored_words(documents):
     assert model.restore("é") == "é"
 
 
+def test_signs_and_doubled_letters_are_read(documents):
+    counts = toxicity.count_letters(documents).toPandas()
+    costs = toxicity.letter_costs(counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    model = toxicity.Model(costs, {"that": 0.95, "this": 0.9}, 0.1, {"that": 0.93})
+    for raw in ("that", "tha+", "+hat", "(+hat)", "thaat", "tthat", "7h47", "th@t!!", "+#@+", "that!", "(that)."):
+        assert model.evidence(raw) == (0.95, 0.93, "that"), raw
+    for raw in ("!!!", "2019", "...", "", "--", "letter", "(=)"):
+        assert model.evidence(raw) is None, raw
+    assert toxicity.readings("a$$") == ["a", "a$$"]
+    assert "loser" in (w.replace("i", "l") for w in model.words("|oser"))
+
+
 def test_one_sure_word_is_enough():
     costs, weights = np.zeros([28] * 4, np.float32), np.array([0.0] * 4 + [-9.0])
     model = toxicity.Model(costs, {"vile": 0.95}, 0.1, {"vile": 0.93}, weights)
