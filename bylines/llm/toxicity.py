@@ -5,6 +5,8 @@ A token with signs, digits or doubled letters spans a lattice: every character m
 letters it resembles, or for nothing; a run may stand for one or two letters. A Viterbi search finds the
 reading that is cheapest under the channel and a character language model. Signs around a token that look
 like letters are read with it, without it, or as the search decides; the reading with most evidence counts.
+Runs of short tokens, with the token before and behind, are one lattice: a space may be the end of a word
+or a separator like others. A search that can't end in a word or prefix with evidence is left out.
 The model counts letter 4-grams over all documents, so what it gathers grows with the corpus, and its
 table has a fixed size.
 
@@ -40,6 +42,7 @@ WIDTH = 3.0  # standard deviations to that bound
 BEST = 3  # words of a text that count
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
+SHORT = 3  # most characters of a token that may be a part of a word
 KNOWN = 300_000  # tokens whose evidence a task remembers
 
 # What a character may stand for besides itself.
@@ -55,6 +58,8 @@ ALIKE = "".join(c for c in LOOKS if not c.isalnum())
 
 LONG_RUN = re.compile(r"(.)\1{3,}")
 DOUBLED = re.compile(r"(.)\1")
+DOUBLED_ALL = re.compile(r"(.)\1+")
+SAME = str.maketrans({"l": "i"} | {c: letters[0].replace("l", "i") for c, letters in LOOKS.items()})
 LETTERS = 28  # boundary, a to z, any other letter
 ORDER = 4
 
@@ -143,7 +148,7 @@ class Model:
     weights: np.ndarray | None = None
 
     def restore(self, token: str, loose: bool = False) -> str:
-        """The cheapest reading of a stripped, lower-case token; of equally cheap ones the first found.
+        """The cheapest reading of a stripped, lower-case token or run; of equally cheap ones the first found.
 
         Runs of more than three equal characters count as three. Time and memory grow with the length.
         If ``loose``, signs around the token may stand for nothing.
@@ -164,7 +169,7 @@ class Model:
                     for letter in letters:
                         symbol = _class(letter)
                         total += float(costs[here][symbol])
-                        here = (*here[1:], symbol)
+                        here = (*here[1:], symbol) if symbol else (0, 0, 0)
                     old = states[at + taken].get(here)
                     if old is None or total < old[0]:
                         states[at + taken][here] = (total, (path, letters))
@@ -185,25 +190,34 @@ class Model:
         """Distinct features of the words that a raw lower-case token may stand for."""
         return list(dict.fromkeys(f for word in self.words(token) for f in word_features(word)))
 
-    def words(self, token: str) -> list[str]:
-        """What a raw lower-case token may stand for: its readings, restored, and itself if it is all letters."""
+    def words(self, token: str, known: Known | None = None) -> list[str]:
+        """What a raw lower-case token may stand for: its readings, restored, and itself if it is all letters.
+
+        Without readings that can't have evidence, if ``known`` is given.
+        """
         found = []
         for word in readings(token):
-            if suspicious(word):
+            if suspicious(word) and (known is None or known.may_be(word)):
                 found.append(self.restore(word))
             if not suspicious(word) or word.isalpha():
                 found.append(word)
-        if len(word) > 1 and not (word[0].isalnum() and word[-1].isalnum()):
-            found.append(self.restore(word, loose=True))  # the last reading has all signs
+        signs = len(word) - len(word.strip(ALIKE))  # the last reading has all signs
+        if signs > 1 and any(map(str.isalnum, word)):
+            found.append(self.restore(word, loose=True))
         return list(dict.fromkeys(found))
 
-    def evidence(self, token: str) -> tuple[float, float, str] | None:
-        """The highest share among the features of a token's words, its bound if that decides, and the word.
+    def joined(self, run: str) -> list[str]:
+        """Words of a run of tokens that are not tokens of it."""
+        tokens = set(run.split())
+        return [w for w in dict.fromkeys(self.restore(run).split()) if w not in tokens]
+
+    def weigh(self, words: list[str]) -> tuple[float, float, str] | None:
+        """Of the word with most evidence: the highest share among its features, its bound if that decides, the word.
 
         None if no feature's share exceeds the base rate.
         """
         best = None
-        for word in self.words(token):
+        for word in words:
             features = word_features(word)
             share = max((self.shares.get(f, 0.0) for f in features), default=0.0)
             if share > self.base:
@@ -211,17 +225,34 @@ class Model:
                 best = max(best or own, own, key=lambda e: (e[1], e[0]))
         return best
 
+    def evidence(self, token: str, known: Known | None = None) -> tuple[float, float, str] | None:
+        """What the words weigh that a token may stand for."""
+        return self.weigh(self.words(token, known))
+
     def summary(self) -> Callable[[str], tuple[list[float], float]]:
         """A function from texts to what the regression weighs, and the highest bound that decides alone or 0."""
         memory: dict[str, tuple[float, float, str] | None] = {}
+        opening: dict[str, bool] = {}
+        known = Known(self.shares, self.base)
+
+        def begins(token: str) -> bool:
+            """Whether a word with evidence may begin with the token and go on behind it."""
+            if token not in opening:
+                opening[token] = "*" in token or skeleton(token) in known.begun
+            return opening[token]
 
         def summarise(text: str) -> tuple[list[float], float]:
-            if len(memory) > KNOWN:
-                memory.clear()
-            tokens = tokens_of(text)
+            for seen in (memory, opening):
+                if len(seen) > KNOWN:
+                    seen.clear()
+            words = text.lower().split()
+            tokens = set(words)
             for token in tokens.difference(memory):
-                memory[token] = self.evidence(token)
+                memory[token] = self.evidence(token, known)
             found = set(map(memory.__getitem__, tokens))
+            if known.longest:
+                for run in runs_at(words, known.joined(words, begins)):
+                    found.update(self.weigh([word]) for word in self.joined(run))
             found.discard(None)
             shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
             odds = [_logit(s) for s in [*shares, *[self.base] * (BEST - len(shares))]]
@@ -262,12 +293,14 @@ def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 
 def _class(letter: str) -> int:
-    return ord(letter) - 96 if "a" <= letter <= "z" else LETTERS - 1
+    return ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else LETTERS - 1
 
 
 def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
     """Ways on from a place: characters taken, letters they stand for, cost."""
     char, arcs = token[at], []
+    if char == " ":
+        return [(1, " ", 0.0), (1, "", NOTHING)]
     run = 3 if token[at : at + 3] == char * 3 else 2 if token[at : at + 2] == char * 2 else 1
     first = at == 0 or token[at - 1] != char
     readings = [(char, 0.0)] if char.isalpha() else []
@@ -285,25 +318,78 @@ def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
     return arcs
 
 
-def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case tokens; three or more single characters in a row also count joined."""
-    words = text.lower().split()
-    tokens = set(words)
-    if len(words) > 2:
-        short = [len(w) == 1 or (len(w) == 2 and not w[1].isalnum()) for w in words]
-        start = 0
-        while True:
-            try:
-                start = short.index(True, start)
-            except ValueError:
-                break
-            end = start + 1
-            while end < len(words) and short[end] and len(words[end - 1]) == 1:
-                end += 1
-            if end - start > 2:
-                tokens.add("".join(w[0] for w in words[start:end]))
-            start = end
-    return tokens
+def stretch(words: list[str], at: int) -> tuple[int, int]:
+    """Where the run of short tokens begins and ends that holds a place or follows it, with its neighbours."""
+    start = end = at + (len(words[at]) > SHORT)
+    while start > 0 and len(words[start - 1]) <= SHORT:
+        start -= 1
+    while end < len(words) and len(words[end]) <= SHORT:
+        end += 1
+    return max(0, start - 1), min(len(words), end + 1)
+
+
+def spaced(words: list[str]) -> Iterator[int]:
+    """Places of the first of three or more single characters in a row."""
+    alone = [len(w) == 1 or (len(w) == 2 and not w[1].isalnum()) for w in words]
+    for at in range(len(words) - 2):
+        if alone[at] and alone[at + 1] and alone[at + 2] and not (at and alone[at - 1]):
+            yield at
+
+
+def runs_at(words: list[str], places: Iterator[int]) -> Iterator[str]:
+    """The runs around some places in ascending order, each once."""
+    done = -1
+    for at in places:
+        if at >= done:
+            start, end = stretch(words, at)
+            yield " ".join(words[start:end])
+            done = max(at + 1, end - 1)  # the neighbour behind may begin the next run
+
+
+def skeleton(token: str) -> str:
+    """What all readings of a token without * have in common: look-alikes as one letter, runs as one."""
+    return DOUBLED_ALL.sub(r"\1", "".join(c for c in token.translate(SAME) if c.isalpha()))
+
+
+class Known:
+    """Skeletons of the words and prefixes with evidence."""
+
+    def __init__(self, shares: dict[str, float], base: float):
+        found = [f for f, share in shares.items() if share > base]
+        self.words = {skeleton(f) for f in found if not f.endswith("*")}
+        self.prefixes = {skeleton(f[:-1]) for f in found if f.endswith("*")}
+        self.longest = max(map(len, found), default=0)
+        self.begun = {f[:n] for f in self.words | self.prefixes for n in range(len(f) + 1)}
+
+    def may_be(self, token: str) -> bool:
+        """Whether a reading of the token may have evidence."""
+        if "*" in token:
+            return True
+        bones = skeleton(token)
+        return bones in self.words or any(bones[:n] in self.prefixes for n in range(PREFIXES[-1] + 1))
+
+    def joined(self, words: list[str], begins: Callable[[str], bool]) -> Iterator[int]:
+        """Places of tokens that, joined with the next ones, may be read as a word with evidence."""
+        for at in [i for i, w in enumerate(words[:-1]) if begins(w)]:
+            if len(words[at]) > SHORT and len(words[at + 1]) > SHORT:
+                continue
+            bones, letters = skeleton(words[at]), 1
+            for nxt in range(at + 1, len(words)):
+                if len(words[nxt]) > SHORT and len(words[nxt - 1]) > SHORT:
+                    break
+                if "*" in words[nxt]:
+                    yield at
+                    break
+                more = skeleton(words[nxt])
+                if not more:
+                    continue
+                old, letters = len(bones), letters + 1
+                bones = DOUBLED_ALL.sub(r"\1", bones + more)
+                if bones in self.words or any(bones[:n] in self.prefixes for n in range(old, len(bones) + 1)):
+                    yield at
+                    break
+                if bones not in self.begun or letters > self.longest:
+                    break
 
 
 def word_features(word: str) -> list[str]:
@@ -354,10 +440,13 @@ def fit(
                 known.clear()
             for raw, value in zip(texts(part), part.column("toxic").to_pylist(), strict=True):
                 own = {""}  # counts texts
-                for token in tokens_of(raw.decode()):
+                words = raw.decode().lower().split()
+                for token in set(words):
                     if token not in known:
                         known[token] = plain.features(token)
                     own.update(known[token])
+                for run in runs_at(words, spaced(words)):
+                    own.update(f for word in plain.joined(run) for f in word_features(word))
                 features += own
                 toxic += [value] * len(own)
                 families += [family(raw)] * len(own)

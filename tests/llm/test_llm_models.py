@@ -68,6 +68,22 @@ def test_signs_and_doubled_letters_are_read(documents):
     assert "loser" in (w.replace("i", "l") for w in model.words("|oser"))
 
 
+def test_spaces_are_part_of_the_lattice():
+    words = "such a stupid man you are an idiot i was here and said it to them all day long so that we go on".split()
+    grams = toxicity.gram_counts(toxicity.letter_classes()[np.frombuffer(" ".join(words * 50).encode(), np.uint8)])
+    costs = toxicity.letter_costs(np.arange(len(grams)), grams)
+    known = {"stupid": 0.95, "stup*": 0.9, "idiot": 0.95}
+    model = toxicity.Model(costs, known, 0.1, known, np.array([0.0] * 4 + [-9.0]))
+    score = model.scorer()
+    for text in (
+        "such a s t u p i d man", "you are a i d i o t", "y o u i d i o t", "you stu pid man", "a st up id man",
+        "i was here s-t u p 1 d so", "said it i d i o t, all", "such a stupi d", "stu pid", "an id iot " + "day " * 99,
+    ):
+        assert score(text) >= 0.9, text
+    for text in ("such a man", "you said it to them", "st. and up to id", "s t u", "a " * 30_000, "it is - - - so", ""):
+        assert score(text) < 0.1, text
+
+
 def test_one_sure_word_is_enough():
     costs, weights = np.zeros([28] * 4, np.float32), np.array([0.0] * 4 + [-9.0])
     model = toxicity.Model(costs, {"vile": 0.95}, 0.1, {"vile": 0.93}, weights)
