@@ -378,14 +378,18 @@ ORACLE: dict[str, str] = {
     ),
     "b4_unresolved": with_views(
         """SELECT 'roster' AS side, doi, auid, upper(name) AS name, upper(surname) AS surname,
-             CASE WHEN (doi, upper(surname)) IN (SELECT (doi, upper(surname)) FROM contrib)
+             CASE WHEN EXISTS (SELECT 1 FROM contrib AS c WHERE c.doi = r.doi AND upper(c.surname) = upper(r.surname))
                   THEN 'ambiguous' ELSE 'no candidate' END AS reason
-           FROM roster WHERE (doi, auid, upper(name), upper(surname)) NOT IN (SELECT (doi, auid, rname, rsur) FROM matched)
+           FROM roster AS r WHERE surname IS NOT NULL AND NOT EXISTS (
+             SELECT 1 FROM matched AS m WHERE m.doi = r.doi AND m.auid IS NOT DISTINCT FROM r.auid
+               AND m.rname IS NOT DISTINCT FROM upper(r.name) AND m.rsur = upper(r.surname))
            UNION ALL
            SELECT DISTINCT 'contributor', doi, NULL, upper(name), upper(surname),
-             CASE WHEN (doi, upper(surname)) IN (SELECT (doi, upper(surname)) FROM roster)
+             CASE WHEN EXISTS (SELECT 1 FROM roster AS r WHERE r.doi = c.doi AND upper(r.surname) = upper(c.surname))
                   THEN 'ambiguous' ELSE 'no candidate' END
-           FROM contrib WHERE (doi, upper(name), upper(surname)) NOT IN (SELECT (doi, cname, csur) FROM matched)""",
+           FROM contrib AS c WHERE surname IS NOT NULL AND NOT EXISTS (
+             SELECT 1 FROM matched AS m WHERE m.doi = c.doi AND m.cname IS NOT DISTINCT FROM upper(c.name)
+               AND m.csur = upper(c.surname))""",
         "matched", "roster", "contrib",
     ),
     "b5_round2": _round(2),

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import sys
 import tempfile
-from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
@@ -11,19 +10,6 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
-@contextmanager
-def settings(spark, **values):
-    """Session settings for a while; names come with their dots, as keys of a dict."""
-    before = {k: spark.conf.get(k) for k in values}
-    try:
-        for key, value in values.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = (

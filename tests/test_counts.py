@@ -8,7 +8,7 @@ import pytest
 
 from bylines.operators.counts import distinct_by, labels_per, mode, size_per, summarise
 
-from conftest import settings
+from support import settings
 
 
 def test_mode_ties_take_the_smallest(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bylines.operators.joins import attach_distinct_count, attach_per_key
 
-from conftest import settings
+from support import settings
 
 SPREAD = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -10,7 +10,7 @@ from bylines.operators.facts import build_facts
 from bylines.operators.metrics import label_share
 from bylines.plans.sample_queries import QUERIES
 
-from conftest import settings
+from support import settings
 
 PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 SF = "/root/testdata/sf0.001"

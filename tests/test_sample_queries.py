@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -54,3 +57,16 @@ def test_entry_point_lists_every_sample_query():
 @pytest.mark.skipif(not Path(SF).exists(), reason="sample tables not present")
 def test_entry(spark):
     assert entry.entry(spark).count() == 42
+
+
+@pytest.mark.parametrize("rest", [(), ("corpus_pipeline.py",), ("corpus_pipeline.py", "bylines/llm/__pycache__/x.pyc")])
+def test_entry_point_without_the_text_operators(tmp_path, rest):
+    home = Path(entry.__file__).parent
+    shutil.copytree(home / "bylines", tmp_path / "bylines", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(entry.__file__, tmp_path)
+    for name in rest:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("from bylines.llm import exact_dedup\n")
+    listed = "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
+    done = subprocess.run([sys.executable, "-c", listed], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert [set(line.split()) for line in done.stdout.splitlines()] == [set(QUERIES), set(ORACLE)]
