@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bylines.llm import exact_dedup, simhash, substring_dedup
 from bylines.llm.components import components
 
-from conftest import AWKWARD, prose
+from llm_support import AWKWARD, prose
 
 
 def groups_by_text(rows):

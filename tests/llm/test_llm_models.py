@@ -11,7 +11,7 @@ import pytest
 from bylines.llm import languages, toxicity
 from bylines.llm.queries import QUERIES
 
-from conftest import AWKWARD
+from llm_support import AWKWARD
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -185,7 +185,7 @@ def test_language_defined_results(spark, awkward, nothing, documents):
 
 
 def test_queries_mark_held_out_rows(spark):
-    from conftest import SF
+    from llm_support import SF
 
     for name, modulus, rest in (("op4_language_id", 4, 2), ("op6_toxicity", 3, 1)):
         for r in QUERIES[name](spark, SF).collect():

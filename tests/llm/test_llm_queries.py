@@ -12,7 +12,7 @@ from bylines.llm import toxicity
 from bylines.llm.common import shared_folder
 from bylines.llm.queries import HELD_OUT_TOXICITY, ORACLE, QUERIES
 
-from conftest import SF
+from llm_support import SF
 from test_llm_dedup import fingerprint, groups_by_text, near_classes
 from test_llm_text import hits
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from bylines.llm import decontamination, licenses, packing, secrets, token_counts
 from bylines.llm.queries import QUERIES
 
-from conftest import AWKWARD, SF, prose
+from llm_support import AWKWARD, SF, prose
 
 PIECES = [
     "a", "th", "é", "ß", "1", "²", " ", "  ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "​", " ", "　",
