@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import sys
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from types import ModuleType
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute
@@ -10,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
+
 SALTS = 64  # shares into which the rows of one key are dealt; the same for every key
 BATCH_BYTES = 8 << 20  # text that a Python task works on at a time
 
@@ -91,6 +96,18 @@ def map_text(
     return df.mapInArrow(run, schema)
 
 
+def per_worker(key: tuple[str, Hashable], build: Callable[[], T]) -> T:
+    """What ``build`` makes, once per Python worker and key, however many tasks the worker runs.
+
+    A worker runs one task at a time. Only the newest key is kept of those with the same first part,
+    so a key is a tuple (what it is for, which one).
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if kept.get(key[0], (None,))[0] != key:
+        kept[key[0]] = key, build()
+    return kept[key[0]][1]
+
+
 def texts(part: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of a text column; NULL becomes empty."""
     return [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]

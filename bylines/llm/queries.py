@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bylines.llm import (
+    conversations,
+    cross_tokenizer,
     decontamination,
     exact_dedup,
     languages,
     licenses,
+    mixing,
     packing,
     secrets,
     simhash,
@@ -113,6 +116,30 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *files)
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    faults, turns = conversations.repair(conversations.damaged(given))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    parts = [given.select("conv_id").distinct(), faults, conversations.digests(turns)]
+    found = conversations.stacked(parts, (*counts, "audit", "repaired_sha256"))
+    return found.selectExpr(
+        "conv_id",
+        *[f"coalesce({c}, 0L) AS {c}" for c in counts],
+        "coalesce(audit, '') AS audit",
+        "coalesce(repaired_sha256, sha2('', 256)) AS repaired_sha256",
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = map(vocabulary, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return cross_tokenizer.align_tokenizers(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -124,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE = {
@@ -137,4 +167,5 @@ ORACLE = {
           sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
     "op8_license_scan": licenses.oracle(),
+    "op11_source_mixing": mixing.oracle(),
 }

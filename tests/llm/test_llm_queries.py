@@ -31,10 +31,10 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op7_exact_dedup", "op8_license_scan"])
+@pytest.mark.parametrize("name", ["op7_exact_dedup", "op8_license_scan", "op11_source_mixing"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
