@@ -43,11 +43,11 @@ def plainly(texts):
             found.append(None)
             continue
         ends_a, ends_b = (dict(zip(np.cumsum([len(t) for t in x]).tolist(), range(len(x)), strict=True)) for x in (a, b))
-        groups, links, i, j = [], [], 0, 0
+        ids_a, groups, links, i, j = own.ids, [], [], 0, 0
         for end in sorted(ends_a.keys() & ends_b.keys()):
             to, until = ends_a[end] + 1, ends_b[end] + 1
-            groups.append("|".join(",".join(map(str, part)) for part in (own.ids[i:to], ids[j:until])))
-            links.append((own.ids[to - 1], ids[until - 1]))
+            groups.append("|".join(",".join(map(str, part)) for part in (ids_a[i:to], ids[j:until])))
+            links.append((ids_a[to - 1], ids[until - 1]))
             i, j = to, until
         total.update(links)
         found.append((len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
