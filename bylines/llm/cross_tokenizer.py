@@ -419,10 +419,10 @@ def align_tokenizers(
         links = chunks.numbers[2, done:]
         keys = chunks.links[len(chunks.links) - int(links.sum()) :]
         index = table.indices(keys)
-        own = np.where(index >= 0, counts[index], 0)
-        owner = np.repeat(np.arange(len(links)), links)
+        there = index >= 0  # but for chunks of texts that aren't spelled, or of another corpus
+        own, owner = counts[index[there]], np.repeat(np.arange(len(links)), links)[there]
         sums = np.zeros((2, len(links)), np.int64)
-        np.add.at(sums[0], owner, own == best[keys & 0xFFFFFFFF])
+        np.add.at(sums[0], owner, own == best[keys[there] & 0xFFFFFFFF])
         np.add.at(sums[1], owner, own)
         return np.concatenate([known, sums], axis=1)
 
