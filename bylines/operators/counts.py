@@ -15,8 +15,11 @@ from bylines.functions.labels import (
     canonical_labels,
     split_labels,
 )
+from bylines.functions.sql import name as quoted
+from bylines.operators.joins import attach_per_key
 
 QUANTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+RANGES = 256  # into which exact ranks cut the values of a group
 SUMMARY = ("min", "q1", "median", "mean", "q3", "max", "sd", "mode")
 
 
@@ -77,59 +80,72 @@ def labels_per(
 def summarise(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """min, q1, median, mean, q3, max, sample sd and mode (ties: smallest) of a value.
 
-    Quantiles are observed values, by default from a mergeable sketch; ``exact`` ranks a
-    histogram instead. The parts are one row per group each and are put together as rows, so
-    that no group, and no histogram, ends in one task.
+    Quantiles are observed values, by default from a mergeable sketch; ``exact`` ranks the values
+    instead. The parts are one row per group each and are put together as rows, so that no group,
+    however many values it has, ends in one task. ``value`` and ``by`` are column names.
     """
-    levels = F.percentile_approx(value, list(QUANTILES.values()))
+    keys, column = list(map(quoted, by)), quoted(value)
+    levels = F.percentile_approx(F.col(column), list(QUANTILES.values()))
     parts = [
-        df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")),
+        df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd")),
         mode(df, value, by),
         _exact_levels(df, value, by)
         if exact
-        else df.groupBy(*by)
+        else df.groupBy(*keys)
         .agg(levels.alias("_levels"))
-        .selectExpr(*by, *[f"_levels[{i}] AS {q}" for i, q in enumerate(QUANTILES)]),
+        .selectExpr(*keys, *[f"_levels[{i}] AS {q}" for i, q in enumerate(QUANTILES)]),
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in SUMMARY])
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in SUMMARY])
 
 
-def _exact_levels(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Quantiles from a histogram in buckets.
+def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """Distinct values of each group (struct ``_group``) with rows of that value or less, and of the group.
 
-    A bucket holds the values of 1/512 of a doubling, whatever the data, so one group has some
-    ten thousand buckets at most. They are ranked by their totals, and the values of a bucket
-    within it.
+    ``_value``, ``_upto`` and ``_total``. A sketch of the group cuts its values into ``ranges`` ranges
+    of about as many rows each, wherever they lie. What lies before a value is the rows of the ranges
+    before its own, one number per range, and the running sum within the range: no task ranks more
+    than a range. Values are counted before they are ranked, so repeats don't make a range large.
+    NULL and NaN take no part.
     """
-    number = f"CAST({value} AS DOUBLE)"
-    bucket = f"CAST(sign({number}) * floor(512 * log2(1 + abs({number}))) AS INT)"
-    histogram = df.filter(f"{value} IS NOT NULL").groupBy(*by, F.col(value).alias("_value"))
-    histogram = histogram.agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_key", F.expr(f"struct({', '.join([*by, bucket.replace(value, '_value')])} AS _bucket)")
+    column = quoted(value)
+    # Without groups the key is 0 for every row, as an expression: a constant would turn the joins into products.
+    keys = list(map(quoted, by)) or [f"pmod(xxhash64({column}), 1)"]
+    group = f"struct({', '.join(keys)}) AS _group"
+    real = f"{column} IS NOT NULL AND NOT isnan(CAST({column} AS DOUBLE))"
+    rows = df.filter(real).selectExpr(group, f"{column} AS _value")
+    cuts = F.percentile_approx("_value", [i / ranges for i in range(1, ranges)])
+    bounds = rows.groupBy("_group").agg(F.array_distinct(cuts).alias("_bounds"))
+    counts = rows.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = attach_per_key(counts, bounds, ["_group"]).selectExpr(
+        "_group", "_value", "_n", "size(filter(_bounds, b -> b < _value)) AS _range"
     )
-    group = f"PARTITION BY {', '.join(by)} " if by else ""
-    totals = histogram.groupBy("_key").agg(F.sum("_n").alias("_sum")).selectExpr("_key", "_key.*", "_sum")
-    ranked = totals.selectExpr(
-        "_key",
-        f"sum(_sum) OVER ({group}ORDER BY _bucket) - _sum AS _before",
-        f"sum(_sum) OVER ({group}) AS _total",
+    # One row per range: at most ``ranges`` of a group.
+    totals = dealt.groupBy("_group", "_range").agg(F.sum("_n").alias("_sum"))
+    earlier = "OVER (PARTITION BY _group ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    bases = totals.selectExpr(
+        "_group", "_range", f"sum(_sum) {earlier} - _sum AS _before", "sum(_sum) OVER (PARTITION BY _group) AS _total"
     )
-    inside = histogram.selectExpr(*by, "_key", "_value", "sum(_n) OVER (PARTITION BY _key ORDER BY _value) AS _upto")
-    joined = inside.join(ranked, "_key")
-    return joined.groupBy(*by).agg(
-        *[
-            F.expr(f"min(_value) FILTER (WHERE _before + _upto >= _total * {p}D)").alias(q)
-            for q, p in QUANTILES.items()
-        ]
+    own = "OVER (PARTITION BY _group, _range ORDER BY _value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    inside = dealt.selectExpr("_group", "_range", "_value", f"sum(_n) {own} AS _own")
+    return inside.join(bases, ["_group", "_range"]).selectExpr("_group", "_value", "_before + _own AS _upto", "_total")
+
+
+def _exact_levels(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Quantiles as the least values that so large a part of the rows doesn't exceed."""
+    found = ranked_values(df, value, by).groupBy("_group").agg(
+        *[F.expr(f"min(_value) FILTER (WHERE _upto >= _total * {p}D)").alias(q) for q, p in QUANTILES.items()]
     )
+    return found.selectExpr(*[f"_group.{quoted(c)} AS {quoted(c)}" for c in by], *QUANTILES)
 
 
 def mode(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
     """Most frequent value; the smallest of those tied, NULL where there is none.
 
-    Equal values are counted first; the best of the counts is an aggregate that combines.
+    Equal values are counted first, then the smallest value of each count is taken, and of these the
+    one with the largest count: hash aggregates that combine, of fixed width for numbers.
     """
-    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
-    best = F.expr("min(struct(-_n AS n, _value AS value)).value")
-    return counts.groupBy(*by).agg(best.alias(name))
+    keys, column = list(map(quoted, by)), quoted(value)
+    counts = df.groupBy(*keys, F.col(column).alias("_value")).agg(F.count(column).alias("_n"))
+    least = counts.groupBy(*keys, "_n").agg(F.min("_value").alias("_value"))
+    return least.groupBy(*keys).agg(F.max_by("_value", "_n").alias(name))

@@ -43,20 +43,27 @@ def attach_per_key(
     # A struct is never NULL itself, and NULLs in it are equal, so no NULL test is pushed
     # below the aggregates that share a shuffle. The partition id keeps equal copies of a
     # row apart; unlike a random number it is the same when a lost task runs again.
-    key = f"struct({', '.join(map(quoted, every))}) AS _key"
-    salt = f"CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {salts}) AS INT) AS _salt"
+    own_key, own_salt, own_value, own_rows = unused(["_key", "_salt", "_value", "_rows"], [*df.columns, *per_key.columns])
+    key = f"struct({', '.join(map(quoted, every))}) AS {own_key}"
+    salt = f"CAST(pmod(xxhash64({', '.join(columns)}, spark_partition_id()), {salts}) AS INT) AS {own_salt}"
     known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in keys)
     if how == "inner":
         df = df.filter(known)
     dealt = df.selectExpr(*columns, key, salt)
-    of_key = per_key.selectExpr(key, f"struct({', '.join(map(quoted, values)) or '1'}) AS _value")
-    shares = dealt.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    joined = dealt.join(shares.join(of_key, "_key"), ["_key", "_salt"], how)
+    of_key = per_key.selectExpr(key, f"struct({', '.join(map(quoted, values)) or '1'}) AS {own_value}")
+    shares = dealt.groupBy(own_key, own_salt).agg(F.count(F.lit(1)).alias(own_rows)).drop(own_rows)
+    joined = dealt.join(shares.join(of_key, own_key), [own_key, own_salt], how)
     # NULL keys met each other as parts of structs; their values are taken back here.
-    found = [f"CASE WHEN {known} THEN _value.{quoted(v)} END AS {quoted(v)}" for v in values]
+    found = [f"CASE WHEN {known} THEN {own_value}.{quoted(v)} END AS {quoted(v)}" for v in values]
     return joined.selectExpr(*columns, *found)
 
 
+def unused(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from those taken, in any case."""
+    lowered = {t.lower() for t in taken}
+    return [next(n for i in range(len(taken) + 1) if (n := "_" * i + name).lower() not in lowered) for name in names]
+
+
 def attach_distinct_count(df: DataFrame, entity: str, member: str, name: str) -> DataFrame:
     """Add the number of distinct members of each entity; NULL for a NULL entity."""
     return attach_per_key(df, distinct_members(df, entity, member, name), [entity])

@@ -5,8 +5,9 @@ import re
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from bylines.operators.counts import distinct_by, labels_per, mode, size_per, summarise
+from bylines.operators.counts import RANGES, distinct_by, labels_per, mode, ranked_values, size_per, summarise
 
 from support import settings
 
@@ -68,6 +69,43 @@ def test_summary_of_many_values_has_no_single_task(spark):
             assert "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("name", ["n", "s", "x y", "_value", "_n"])
+def test_any_column_name(spark, name):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], f"`g h` string, `{name}` int")
+    for exact in (False, True):
+        rows = summarise(df, name, ["g h"], exact=exact).collect()
+        assert {r["g h"]: (r["min"], r["max"], r["mode"]) for r in rows} == {"a": (1, 3, 1), "b": (2, 2, 2)}
+
+
+def test_exact_quantiles_of_many_distributions(spark):
+    rng = random.Random(6)
+    values = {
+        "narrow": [10**9 + rng.randint(0, 400) for _ in range(2000)],
+        "wide": [rng.randint(-(10**18), 10**18) for _ in range(1500)],
+        "hot": [5] * 1500 + [rng.randint(0, 10) for _ in range(500)],
+        "one": [7],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v bigint").repartition(5)
+    for r in summarise(df, "v", ["g"], exact=True).collect():
+        vs = sorted(values[r["g"]])
+        assert [r[c] for c in ("min", "q1", "median", "q3", "max")] == [
+            vs[max(0, -(-len(vs) * k // 4) - 1)] for k in range(5)
+        ]
+
+
+def test_ranks_of_a_narrow_range_are_dealt_evenly(spark):
+    """Three million values within a thousandth of each other: no range holds more than a few parts in a hundred."""
+    df = spark.range(10**9, 10**9 + 3_000_000, 1, 8).withColumnRenamed("id", "n")
+    ranked = ranked_values(df, "n")
+    assert ranked.filter("_upto <> _value - 999999999 OR _total <> 3000000").count() == 0
+    cuts = df.selectExpr(f"percentile_approx(n, array({', '.join(str(i / RANGES) + 'D' for i in range(1, RANGES))})) AS c")
+    sizes = df.crossJoin(cuts).groupBy(F.expr("size(filter(c, b -> b < n))")).count().agg(F.max("count")).head()[0]
+    assert sizes < 3_000_000 / RANGES * 2
+    with settings(spark, **{"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for frame in (mode(df, "n"), mode(df.withColumn("g", F.col("n") % 3), "n", ["g"])):
+            assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_several_groups_of_a_row(spark):
     rows = [("a", 1, ["x", "y"], "p, q"), ("a", 2, ["x"], "q"), ("a", 1, ["x", "y"], "p, q"), ("b", 3, [], "p")]
     df = spark.createDataFrame(rows, "eid string, auid int, g array<string>, credit string")

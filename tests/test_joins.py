@@ -43,6 +43,14 @@ def test_awkward_column_names(spark):
     assert [tuple(r) for r in attach_per_key(df, stats, ["k e"]).collect()] == [("a", 1, 2, 2)]
 
 
+def test_columns_with_the_names_of_helpers(spark):
+    df = spark.createDataFrame([("a", 1, 2, 3)], "_key string, _value int, _rows int, `_Salt` int")
+    stats = df.groupBy("_key").agg(F.max("_value").alias("__value"))
+    got = attach_per_key(df, stats, ["_key"])
+    assert got.columns == [*df.columns, "__value"]
+    assert [tuple(r) for r in got.collect()] == [("a", 1, 2, 3, 1)]
+
+
 def test_rows_of_all_hot_keys_are_dealt_evenly(spark):
     """Twenty keys and the rows without one share the data; no partition gets much more than its part."""
     hot = spark.range(0, 20_000, 1, 8).selectExpr("concat('hot', id % 20) AS k", "id AS v")
