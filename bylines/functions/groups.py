@@ -54,3 +54,16 @@ def groups_of(codes: str, groups: Mapped = DISCIPLINES) -> str:
 def default_groups_of(codes: str, groups: Mapped = FIELDS, default: str = DEFAULT_FIELD) -> str:
     """SQL for the distinct ``group_of`` values of a code list, one row per group once exploded."""
     return f"array_distinct(transform({codes}, x -> {group_of('x', groups, default)}))"
+
+
+OVERALL = "All"  # the scope of every row
+
+
+def scopes(groups: str, overall: str = OVERALL) -> str:
+    """SQL for the groups of a row and, last, the scope that every row belongs to.
+
+    Metrics by an array of groups, given this one, have the overall result beside those of the groups
+    from one pass: they count rows per array before they open it. A NULL array has the overall scope
+    only; ``overall`` must not be the name of a group.
+    """
+    return f"array_append(coalesce({groups}, CAST(array() AS array<string>)), {sql.literal(overall)})"

@@ -4,7 +4,7 @@ rounds subtract, labels are exploded. Used to check the operators, not to run th
 from __future__ import annotations
 
 from bylines.functions import sql
-from bylines.functions.groups import DISCIPLINES, FIELDS
+from bylines.functions.groups import DISCIPLINES, FIELDS, OVERALL
 from bylines.plans.sample_views import ALIASES, CODES, VOCAB
 
 _CODES = "[" + sql.literals(CODES) + "]"
@@ -576,3 +576,20 @@ ORACLE: dict[str, str] = {
 }
 # What was written and read again is the table itself.
 ORACLE["a8_curated_round_trip"] = ORACLE["curated"]
+for _query in ("e2_row_count", "f2_mean_share", "f7_bin_share", "f13_rate"):
+    ORACLE[f"{_query}_stored"] = ORACLE[_query]
+
+
+def _scopes(overall: str, grouped: str, group: str) -> str:
+    """The rows of two queries, with the group or 'All' in a column ``scope``."""
+    return (
+        f"SELECT {sql.literal(OVERALL)} AS scope, * FROM ({ORACLE[overall]})"
+        f" UNION ALL BY NAME SELECT * RENAME ({group} AS scope) FROM ({ORACLE[grouped]})"
+    )
+
+
+ORACLE["f8_f9_cooccur_scopes"] = _scopes("f8_cooccur", "f9_cooccur_group", "discipline")
+ORACLE["f11_f12_position_scopes"] = _scopes("f11_position_count", "f12_position_group", "discipline")
+ORACLE["f13_f14_rate_scopes"] = _scopes("f13_rate", "f14_rate_group", "discipline")
+ORACLE["g4_g6_chi2_scopes"] = _scopes("g4_chi2", "g6_chi2_group", "discipline")
+ORACLE["d9_d10_summary_members_scopes"] = _scopes("d9_summary_members", "d10_summary_group_members", "fields")

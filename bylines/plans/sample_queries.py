@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bylines.functions import groups as G
 from bylines.functions import labels as L
@@ -15,12 +16,12 @@ from bylines.operators import flatten as A
 from bylines.operators import linkage as B
 from bylines.operators import metrics as M
 from bylines.operators.cooccurrence import cooccurrence
-from bylines.operators.facts import drop_empty, label_counts
+from bylines.operators.facts import drop_empty, label_counts, with_position_class
 from bylines.operators.independence import chi_square_position, contingency, participation, with_expected
 from bylines.operators.joins import attach_distinct_count, distinct_members
 from bylines.plans import sample_views as V
 from bylines.plans.curate import curated_table, roster, structured_roles
-from bylines.sources import tables
+from bylines.sources import fact_table, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,6 +407,41 @@ def e9_entity_labels(spark, sf_dir):
     )
 
 
+# The same from facts that were written to a table
+
+TABLE_BUCKETS = 8
+
+
+def stored_facts(spark, sf_dir):
+    """The facts of all members, with position class, written and read again."""
+    path = tables.scratch_path(spark, "facts")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows = with_position_class(V.facts(spark, sf_dir, keep_empty=True))
+    fact_table.write_facts(rows, table, path, buckets=TABLE_BUCKETS)
+    return fact_table.read_facts(spark, table, path, buckets=TABLE_BUCKETS)
+
+
+@query
+def e2_row_count_stored(spark, sf_dir):
+    return stored_facts(spark, sf_dir).select("doi", "auid", "position", "row_count")
+
+
+@query
+def f2_mean_share_stored(spark, sf_dir):
+    share = M.label_share(drop_empty(stored_facts(spark, sf_dir)))
+    return rounded(M.mean_share(share), "mean_share")
+
+
+@query
+def f7_bin_share_stored(spark, sf_dir):
+    return rounded(M.bin_share(M.to_entities(drop_empty(stored_facts(spark, sf_dir)))), "share")
+
+
+@query
+def f13_rate_stored(spark, sf_dir):
+    return rounded(M.label_rate(drop_empty(stored_facts(spark, sf_dir))), "rate")
+
+
 # Role metrics
 
 
@@ -532,3 +568,40 @@ def g6_chi2_group(spark, sf_dir):
 def g7_chi2_group_label(spark, sf_dir):
     tests = chi_square_position(V.placed_facts(spark, sf_dir), per_label=True, by_group="discipline")
     return rounded(tests, "chi2", "p_value")
+
+
+# Overall and by group in one pass
+
+EVERY_SCOPE = (*G.DISCIPLINES, G.OVERALL)
+
+
+def _scoped(facts):
+    return facts.withColumn("scope", F.expr(G.scopes("discipline")))
+
+
+@query
+def d9_d10_summary_members_scopes(spark, sf_dir):
+    scope = {"scope": G.scopes(G.default_groups_of("subjareas"))}
+    sizes = D.size_per(_coded(spark, sf_dir), "doi", "auid", "num_au", multi=scope)
+    return rounded(D.summarise(sizes, "num_au", ["scope"], exact=True), "mean", "sd")
+
+
+@query
+def f8_f9_cooccur_scopes(spark, sf_dir):
+    rows = cooccurrence(_scoped(V.members(spark, sf_dir)), vocab=V.VOCAB, by="scope", groups=EVERY_SCOPE)
+    return rounded(rows, "ratio")
+
+
+@query
+def f11_f12_position_scopes(spark, sf_dir):
+    return M.count_by_position(_scoped(V.placed_facts(spark, sf_dir)), by="scope")
+
+
+@query
+def f13_f14_rate_scopes(spark, sf_dir):
+    return rounded(M.label_rate(_scoped(V.placed_facts(spark, sf_dir)), by="scope"), "rate")
+
+
+@query
+def g4_g6_chi2_scopes(spark, sf_dir):
+    return rounded(chi_square_position(_scoped(V.placed_facts(spark, sf_dir)), by_group="scope"), "chi2", "p_value")

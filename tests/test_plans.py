@@ -14,7 +14,7 @@ from support import settings
 
 PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 SF = "/root/testdata/sf0.001"
-WRITES = {"a2_csv", "a8_curated_round_trip"}
+WRITES = {"a2_csv", "a8_curated_round_trip", *(name for name in QUERIES if name.endswith("_stored"))}
 
 
 def plan_of(df) -> str:
@@ -68,3 +68,12 @@ def test_facts_read_and_group_their_input_once(spark, curated_rows, tmp_path):
     assert len(re.findall("FileScan parquet", plan)) == 1
     assert len(re.findall("ReusedExchange", plan)) == 2
     assert any("_salt" in keys for keys in re.findall(r"SortMergeJoin \[(.*?)\], \[", plan))
+
+
+@pytest.mark.parametrize("name", [name for name in QUERIES if name.endswith("_scopes")])
+def test_overall_and_groups_come_from_one_scan(spark, name):
+    """Scans that are left once equal exchanges are shared: those of the query for the groups alone."""
+    alone = {"d9": "d10_summary_group_members", "f8": "f9_cooccur_group", "f11": "f12_position_group"}
+    alone |= {"f13": "f14_rate_group", "g4": "g6_chi2_group"}
+    scans, grouped = (physical(spark, n).count("Scan parquet") for n in (name, alone[name.split("_")[0]]))
+    assert scans <= grouped
