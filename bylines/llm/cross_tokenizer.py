@@ -38,7 +38,7 @@ from bylines.llm.token_counts import byte_symbols
 
 CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 BLOCK = 1 << 17  # chunks of a text that are looked at together
-KNOWN = 300_000  # chunks that a task remembers
+KNOWN = 700_000  # chunks that a task remembers
 LONGEST = 64  # characters of a chunk that is remembered
 TOGETHER = 1 << 20  # bytes of text whose chunks are aligned together
 SLICE = 1 << 16  # entries of a count vector that travel together
@@ -51,6 +51,9 @@ SCHEMA = (
 )
 
 
+Ids = tuple[np.ndarray, np.ndarray]  # of all chunks end to end, and how many each has
+
+
 class Vocabularies:
     """Both tokenizers, and the bytes that each of their ids stands for.
 
@@ -82,6 +85,8 @@ class Vocabularies:
         plain = [i for i in range(size) if not self.b.is_control(i) and not self.b.is_unknown(i)]
         self.b_bytes = {i: self._piece(i) for i in plain}
         self.separable = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in plain)
+        self.spell_a, self.spell_b = (_by_id(t) for t in (self.a_bytes, self.b_bytes))
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, t))) for t in (self.spell_a, self.spell_b))
         # Ids as text, by 2 * id + whether it ends its group, first A's, then B's.
         self.b_from = 2 * (max(self.a_bytes) + 1)
         self.signs = [f"{i}{sign}" for i in range(max(self.a_bytes) + 1) for sign in ",|"]
@@ -108,17 +113,28 @@ class Vocabularies:
             while block := list(islice(found, BLOCK)):
                 yield block
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, chunks: list[str]) -> tuple[Ids, Ids]:
         """A's and B's ids of chunks that begin with a space, which B adds by itself."""
-        slow = self.fast is None or (PLAIN.search("".join(chunks)) and PLAIN.search)
-        ids_a = [
-            self.exact.encode(c, add_special_tokens=False).ids if slow and (slow is True or slow(c)) else self.fast(c)
-            for c in chunks
-        ]
         ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
         for i in [i for i, c in enumerate(chunks) if c == " "]:  # B adds no space to an empty text
             ids_b[i] = self.b.encode("x ")[len(self.b.encode("x")) :]
-        return ids_a, ids_b
+        if self.fast is None or PLAIN.search("".join(chunks)):
+            return _flat([self._ids_a(c) for c in chunks]), _flat(ids_b)
+        # A cuts between chunks unless white space meets white space there, so they can be encoded end to end.
+        together = np.array([not c[-1].isspace() for c in chunks])
+        joined = [c for c, ok in zip(chunks, together, strict=True) if ok]
+        flat = np.array(self.fast("".join(joined)), np.int64)
+        ends = np.cumsum(self.sizes_a[flat])
+        stops = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in joined]), "right")
+        if together.all():
+            return (flat, np.diff(stops, prepend=0)), _flat(ids_b)
+        own = iter(np.split(flat, stops[:-1]))
+        return _flat([next(own).tolist() if ok else self._ids_a(c) for c, ok in zip(chunks, together, strict=True)]), _flat(ids_b)
+
+    def _ids_a(self, chunk: str) -> list[int]:
+        if self.fast is None or PLAIN.search(chunk):
+            return self.exact.encode(chunk, add_special_tokens=False).ids
+        return self.fast(chunk)
 
 
 def _by_bytes(spelled: dict[int, bytes]) -> dict[bytes, int]:
@@ -137,8 +153,6 @@ class Chunks:
 
     def __init__(self, words: Vocabularies, known: int = KNOWN):
         self.words, self.known = words, known
-        self.spell_a, self.spell_b = (_by_id(t) for t in (words.a_bytes, words.b_bytes))
-        self.sizes_a, self.sizes_b = (np.array(list(map(len, t))) for t in (self.spell_a, self.spell_b))
         self._clear()
 
     def _clear(self) -> None:
@@ -174,12 +188,12 @@ class Chunks:
 
     def _learn(self, new: list[str]) -> None:
         words, raws = self.words, [c.encode() for c in new]
-        ids = words.encode(new)
-        spelled = _spelled(raws, ids[0], self.spell_a) & _spelled(raws, ids[1], self.spell_b)
+        (flat_a, count_a), (flat_b, count_b) = words.encode(new)
+        spelled = _spelled(raws, flat_a, count_a, words.spell_a) & _spelled(raws, flat_b, count_b, words.spell_b)
         if not spelled.all():
-            ids = [[own if ok else [] for own, ok in zip(i, spelled, strict=True)] for i in ids]
-        (flat_a, count_a), (flat_b, count_b) = map(_flat, ids)
-        ends_a, ends_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
+            flat_a, flat_b = (f[np.repeat(spelled, n)] for f, n in ((flat_a, count_a), (flat_b, count_b)))
+            count_a, count_b = count_a * spelled, count_b * spelled
+        ends_a, ends_b = np.cumsum(words.sizes_a[flat_a]), np.cumsum(words.sizes_b[flat_b])
         _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         owner_a = np.repeat(np.arange(len(new)), count_a)
         links = np.bincount(owner_a[at_a], minlength=len(new))
@@ -206,12 +220,12 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum())), count
 
 
-def _spelled(raws: list[bytes], ids: list[list[int]], table: list[bytes]) -> np.ndarray:
+def _spelled(raws: list[bytes], flat: np.ndarray, count: np.ndarray, table: list[bytes]) -> np.ndarray:
     """Whether the ids spell each chunk; they nearly always do, and then all are compared at once."""
-    tokens = list(map(table.__getitem__, chain.from_iterable(ids)))
-    stops = np.cumsum([0, *map(len, ids)])
-    ends = np.cumsum([0, *map(len, tokens)])[stops]
-    if b"".join(tokens) == b"".join(raws) and (np.diff(ends) == list(map(len, raws))).all():
+    tokens = list(map(table.__getitem__, flat.tolist()))
+    stops = np.cumsum(np.append(0, count))
+    ends = np.append(0, np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))))[stops]
+    if b"".join(tokens) == b"".join(raws) and (np.diff(ends) == np.fromiter(map(len, raws), np.int64, len(raws))).all():
         return np.ones(len(raws), bool)
     return np.array([b"".join(tokens[a:b]) == raw for a, b, raw in zip(stops[:-1], stops[1:], raws, strict=True)])
 
