@@ -21,8 +21,10 @@ the lower end of a wide confidence interval decides alone: one such word in a lo
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bylines.llm.common import map_text, text_slices, texts
+from bylines.llm.common import map_text, per_worker, text_slices, texts
 
 SAMPLE = 20_000  # most labelled rows that the shares are fitted on
 PRIOR = 4.0  # texts that the base rate counts as
@@ -43,7 +45,8 @@ BEST = 3  # words of a text that count
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SHORT = 3  # most characters of a token that may be a part of a word
-KNOWN = 300_000  # tokens whose evidence a task remembers
+KNOWN = 300_000  # tokens whose evidence a worker remembers
+OPENED = 100_000  # tokens whose features a worker remembers
 
 # What a character may stand for besides itself.
 LOOKS = {
@@ -54,14 +57,23 @@ LOOKS = {
 SEPARATORS = ".-_*~'·"  # characters that may stand for nothing inside a word
 LOOK, REPEAT, NOTHING = 1.5, 0.5, 1.0  # costs, in nats
 
+# Signs that no reading keeps at either end of a token.
+AROUND = '.,;:?"'
 ALIKE = "".join(c for c in LOOKS if not c.isalnum())
 
 LONG_RUN = re.compile(r"(.)\1{3,}")
 DOUBLED = re.compile(r"(.)\1")
 DOUBLED_ALL = re.compile(r"(.)\1+")
-SAME = str.maketrans({"l": "i"} | {c: letters[0].replace("l", "i") for c, letters in LOOKS.items()})
+SAME = str.maketrans(
+    dict.fromkeys("\"%&'),-./:;=>?[\\]^_`}~")  # signs that stand for nothing in a skeleton
+    | {"l": "i"}
+    | {c: letters[0].replace("l", "i") for c, letters in LOOKS.items()}
+)
 LETTERS = 28  # boundary, a to z, any other letter
 ORDER = 4
+CONTEXTS = LETTERS ** (ORDER - 1)
+
+Arc = tuple[int, str, tuple[int, ...], float]  # characters taken, letters they stand for, their classes, cost
 
 
 def letter_classes() -> np.ndarray:
@@ -146,6 +158,25 @@ class Model:
     base: float
     sure: dict[str, float]
     weights: np.ndarray | None = None
+    key: tuple[str, str] = field(default_factory=lambda: ("toxicity", uuid.uuid4().hex))  # of what a worker remembers
+
+    def __post_init__(self) -> None:
+        self._flat: list[float] = []
+        self._arcs: dict[tuple[str, int, bool], list[Arc]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_flat": [], "_arcs": {}}
+
+    def arcs(self, token: str, at: int) -> list[Arc]:
+        """Ways on from a place."""
+        char = token[at]
+        run = 3 if token[at : at + 3] == char * 3 else 2 if token[at : at + 2] == char * 2 else 1
+        own = char, run, at == 0 or token[at - 1] != char
+        if own not in self._arcs:
+            if len(self._arcs) > KNOWN:
+                self._arcs.clear()
+            self._arcs[own] = [(n, letters, tuple(map(_class, letters)), price) for n, letters, price in _arcs(*own)]
+        return self._arcs[own]
 
     def restore(self, token: str, loose: bool = False) -> str:
         """The cheapest reading of a stripped, lower-case token or run; of equally cheap ones the first found.
@@ -154,30 +185,33 @@ class Model:
         If ``loose``, signs around the token may stand for nothing.
         """
         token = LONG_RUN.sub(r"\1\1\1", token)
-        costs, size = self.costs, len(token)
-        # At each place: the last three classes to the cost and the letters so far, linked backwards.
+        if not self._flat:
+            self._flat = self.costs.ravel().tolist()
+        flat, size = self._flat, len(token)
+        # At each place: the last three classes, as one number, to the cost and the letters so far, linked backwards.
         states: list[dict] = [{} for _ in range(size + 1)]
-        states[0][0, 0, 0] = (0.0, None)
-        bare = [at for at, c in enumerate(token) if c.isalnum()] or [size]
+        states[0][0] = (0.0, None)
+        bare = [at for at, c in enumerate(token) if c.isalnum()] or [size] if loose else []
         for at in range(size):
-            arcs = _arcs(token, at)
+            arcs = self.arcs(token, at)
             if loose and not bare[0] <= at <= bare[-1]:
-                arcs.append((1, "", NOTHING))
+                arcs = [*arcs, (1, "", (), NOTHING)]
             for context, (cost, path) in states[at].items():
-                for taken, letters, price in arcs:
+                for taken, letters, symbols, price in arcs:
                     here, total = context, cost + price
-                    for letter in letters:
-                        symbol = _class(letter)
-                        total += float(costs[here][symbol])
-                        here = (*here[1:], symbol) if symbol else (0, 0, 0)
-                    old = states[at + taken].get(here)
+                    for symbol in symbols:
+                        here = here * LETTERS + symbol
+                        total += flat[here]
+                        here = here % CONTEXTS if symbol else 0
+                    onward = states[at + taken]
+                    old = onward.get(here)
                     if old is None or total < old[0]:
-                        states[at + taken][here] = (total, (path, letters))
+                        onward[here] = (total, (path, letters))
             states[at] = {}
         if not states[size]:
             return token
         _, path = min(
-            ((cost + float(costs[context][0]), path) for context, (cost, path) in states[size].items()),
+            ((cost + flat[context * LETTERS], path) for context, (cost, path) in states[size].items()),
             key=lambda end: end[0],
         )
         parts = []
@@ -231,27 +265,31 @@ class Model:
 
     def summary(self) -> Callable[[str], tuple[list[float], float]]:
         """A function from texts to what the regression weighs, and the highest bound that decides alone or 0."""
-        memory: dict[str, tuple[float, float, str] | None] = {}
-        opening: dict[str, bool] = {}
+        # By token without the signs around it: the evidence, and whether a word with evidence may begin with it.
+        memory: dict[str, tuple[tuple[float, float, str] | None, bool]] = per_worker(self.key, dict)
+        bones: dict[str, str] = per_worker((f"{self.key[0]} bones", self.key[1]), dict)
         known = Known(self.shares, self.base)
 
-        def begins(token: str) -> bool:
-            """Whether a word with evidence may begin with the token and go on behind it."""
-            if token not in opening:
-                opening[token] = "*" in token or skeleton(token) in known.begun
-            return opening[token]
+        def look(token: str) -> tuple[tuple[float, float, str] | None, bool]:
+            if not token.isalpha() or DOUBLED.search(token):
+                return self.evidence(token, known), "*" in token or skeleton(token) in known.begun
+            return self.weigh([token]), skeleton(token) in known.begun
 
         def summarise(text: str) -> tuple[list[float], float]:
-            for seen in (memory, opening):
-                if len(seen) > KNOWN:
-                    seen.clear()
+            for kept in (memory, bones):
+                if len(kept) > KNOWN:
+                    newer = dict(islice(kept.items(), len(kept) // 2, None))
+                    kept.clear()
+                    kept.update(newer)
             words = text.lower().split()
             tokens = set(words)
-            for token in tokens.difference(memory):
-                memory[token] = self.evidence(token, known)
-            found = set(map(memory.__getitem__, tokens))
-            if known.longest:
-                for run in runs_at(words, known.joined(words, begins)):
+            inner = {token: token.strip(AROUND) for token in tokens}
+            for token in set(inner.values()).difference(memory):
+                memory[token] = look(token)
+            found = {memory[token][0] for token in inner.values()}
+            opening = {token for token, own in inner.items() if memory[own][1]}
+            if known.longest and opening:
+                for run in runs_at(words, known.joined(words, opening, bones)):
                     found.update(self.weigh([word]) for word in self.joined(run))
             found.discard(None)
             shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
@@ -296,13 +334,11 @@ def _class(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else LETTERS - 1
 
 
-def _arcs(token: str, at: int) -> list[tuple[int, str, float]]:
-    """Ways on from a place: characters taken, letters they stand for, cost."""
-    char, arcs = token[at], []
+def _arcs(char: str, run: int, first: bool) -> list[tuple[int, str, float]]:
+    """Ways on from a character that begins a run of so many: characters taken, letters they stand for, cost."""
+    arcs = []
     if char == " ":
         return [(1, " ", 0.0), (1, "", NOTHING)]
-    run = 3 if token[at : at + 3] == char * 3 else 2 if token[at : at + 2] == char * 2 else 1
-    first = at == 0 or token[at - 1] != char
     readings = [(char, 0.0)] if char.isalpha() else []
     readings += [(letter, LOOK) for letter in LOOKS.get(char, "")]
     for letter, price in readings:
@@ -348,7 +384,10 @@ def runs_at(words: list[str], places: Iterator[int]) -> Iterator[str]:
 
 def skeleton(token: str) -> str:
     """What all readings of a token without * have in common: look-alikes as one letter, runs as one."""
-    return DOUBLED_ALL.sub(r"\1", "".join(c for c in token.translate(SAME) if c.isalpha()))
+    bones = token.translate(SAME)
+    if not bones.isalpha():
+        bones = "".join(filter(str.isalpha, bones))
+    return DOUBLED_ALL.sub(r"\1", bones) if DOUBLED.search(bones) else bones
 
 
 class Known:
@@ -358,6 +397,7 @@ class Known:
         found = [f for f, share in shares.items() if share > base]
         self.words = {skeleton(f) for f in found if not f.endswith("*")}
         self.prefixes = {skeleton(f[:-1]) for f in found if f.endswith("*")}
+        self.sizes = sorted(set(map(len, self.prefixes)))
         self.longest = max(map(len, found), default=0)
         self.begun = {f[:n] for f in self.words | self.prefixes for n in range(len(f) + 1)}
 
@@ -366,26 +406,32 @@ class Known:
         if "*" in token:
             return True
         bones = skeleton(token)
-        return bones in self.words or any(bones[:n] in self.prefixes for n in range(PREFIXES[-1] + 1))
+        return bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes)
+
+    def joined(self, words: list[str], opening: set[str], bones_of: dict[str, str]) -> Iterator[int]:
+        """Places of tokens that, joined with the next ones, may be read as a word with evidence.
 
-    def joined(self, words: list[str], begins: Callable[[str], bool]) -> Iterator[int]:
-        """Places of tokens that, joined with the next ones, may be read as a word with evidence."""
-        for at in [i for i, w in enumerate(words[:-1]) if begins(w)]:
-            if len(words[at]) > SHORT and len(words[at + 1]) > SHORT:
+        ``opening`` has the tokens with which such a word may begin; ``bones_of`` remembers skeletons.
+        """
+        for at, word in enumerate(words[:-1]):
+            if word not in opening or (len(word) > SHORT and len(words[at + 1]) > SHORT):
                 continue
-            bones, letters = skeleton(words[at]), 1
+            bones, letters = skeleton(word), 1
             for nxt in range(at + 1, len(words)):
-                if len(words[nxt]) > SHORT and len(words[nxt - 1]) > SHORT:
+                token = words[nxt]
+                if len(token) > SHORT and len(words[nxt - 1]) > SHORT:
                     break
-                if "*" in words[nxt]:
+                if "*" in token:
                     yield at
                     break
-                more = skeleton(words[nxt])
+                more = bones_of.get(token)
+                if more is None:
+                    more = bones_of[token] = skeleton(token)
                 if not more:
                     continue
                 old, letters = len(bones), letters + 1
                 bones = DOUBLED_ALL.sub(r"\1", bones + more)
-                if bones in self.words or any(bones[:n] in self.prefixes for n in range(old, len(bones) + 1)):
+                if bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes if n >= old):
                     yield at
                     break
                 if bones not in self.begun or letters > self.longest:
@@ -432,16 +478,16 @@ def fit(
     )
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
+        known: dict[str, list[str]] = per_worker(("toxicity features", plain.key[1]), dict)
 
         def open_features(part: pa.RecordBatch) -> pa.RecordBatch:
             features, toxic, families = [], [], []
-            if len(known) > KNOWN:
-                known.clear()
             for raw, value in zip(texts(part), part.column("toxic").to_pylist(), strict=True):
+                if len(known) > OPENED:
+                    known.clear()
                 own = {""}  # counts texts
                 words = raw.decode().lower().split()
-                for token in set(words):
+                for token in {word.strip(AROUND) for word in words}:
                     if token not in known:
                         known[token] = plain.features(token)
                     own.update(known[token])
@@ -503,7 +549,7 @@ def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) ->
     short = np.array([len(f) <= PREFIXES[0] + 1 and f.endswith("*") for f in names], bool)  # too easily met by chance
     sure = kept & (bound >= DECISIVE) & ~short
     chosen = [dict(zip(names[k], v[k].tolist(), strict=True)) for k, v in ((kept, share), (sure, bound))]
-    return Model(costs, chosen[0], base, chosen[1])
+    return Model(costs, chosen[0], base, chosen[1], key=(f"toxicity {halves}", uuid.uuid4().hex))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -190,3 +191,38 @@ def test_queries_mark_held_out_rows(spark):
     for name, modulus, rest in (("op4_language_id", 4, 2), ("op6_toxicity", 3, 1)):
         for r in QUERIES[name](spark, SF).collect():
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest)
+
+
+def cheapest_reading(costs, token):
+    """The least cost of all readings of a token, listed one by one, and the readings that have it."""
+    token = toxicity.LONG_RUN.sub(r"\1\1\1", token)
+
+    def ways(at):
+        if at == len(token):
+            yield "", 0.0
+            return
+        run = next(n for n in (3, 2, 1) if token[at : at + n] == token[at] * n)
+        for taken, letters, price in toxicity._arcs(token[at], run, at == 0 or token[at - 1] != token[at]):
+            for rest, more in ways(at + taken):
+                yield letters + rest, price + more
+
+    found = {}
+    for reading, price in ways(0):
+        context = (0, 0, 0)
+        for letter in [*reading, " "]:
+            symbol = toxicity._class(letter)
+            price += float(costs[context][symbol])
+            context = (*context[1:], symbol) if symbol else (0, 0, 0)
+        found[reading] = min(price, found.get(reading, price))
+    least = min(found.values())
+    return {r for r, price in found.items() if price < least + 1e-9}
+
+
+def test_restored_words_are_the_cheapest_of_all(documents):
+    counts = toxicity.count_letters(documents).toPandas()
+    costs = toxicity.letter_costs(counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    model = toxicity.Model(costs, {}, 0.0, {})
+    rng = random.Random(8)
+    for _ in range(300):
+        token = "".join(rng.choice("aehstt1*0$|!-. é9") for _ in range(rng.randint(1, 7))).strip()
+        assert model.restore(token) in cheapest_reading(costs, token), token
