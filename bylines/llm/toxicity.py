@@ -64,6 +64,8 @@ ALIKE = "".join(c for c in LOOKS if not c.isalnum())
 LONG_RUN = re.compile(r"(.)\1{3,}")
 DOUBLED = re.compile(r"(.)\1")
 DOUBLED_ALL = re.compile(r"(.)\1+")
+BRANCHING = re.compile(r"(.)\1+|[^a-zß-öø-ÿœ]", re.DOTALL)  # what more than one way leads through; other letters don't matter
+LONG = 64  # letters of a segment that is remembered
 SAME = str.maketrans(
     dict.fromkeys("\"%&'),-./:;=>?[\\]^_`}~")  # signs that stand for nothing in a skeleton
     | {"l": "i"}
@@ -73,6 +75,7 @@ LETTERS = 28  # boundary, a to z, any other letter
 ORDER = 4
 CONTEXTS = LETTERS ** (ORDER - 1)
 
+Segment = tuple[tuple[int, ...], float, int | None]  # first classes, cost of the others, and the last three classes
 Arc = tuple[int, str, tuple[int, ...], float]  # characters taken, letters they stand for, their classes, cost
 
 
@@ -163,9 +166,29 @@ class Model:
     def __post_init__(self) -> None:
         self._flat: list[float] = []
         self._arcs: dict[tuple[str, int, bool], list[Arc]] = {}
+        self._segments: dict[str, Segment] = {}
+        self._heads = {f[: PREFIXES[0]] for f in self.shares if f.endswith("*")}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_flat": [], "_arcs": {}}
+        return self.__dict__ | {"_flat": [], "_arcs": {}, "_segments": {}}
+
+    def segment(self, letters: str) -> Segment:
+        """What letters with one way through them cost behind their first three, whatever is in front."""
+        found = self._segments.get(letters)
+        if found is None:
+            symbols = tuple(map(_class, letters))
+            here, tail = 0, 0.0
+            for at, symbol in enumerate(symbols):
+                here = here * LETTERS + symbol
+                if at >= ORDER - 1:
+                    tail += self._flat[here]
+                here %= CONTEXTS
+            found = symbols[: ORDER - 1], tail, here if len(symbols) >= ORDER - 1 else None
+            if len(self._segments) > KNOWN:
+                self._segments.clear()
+            if len(letters) <= LONG:
+                self._segments[letters] = found
+        return found
 
     def arcs(self, token: str, at: int) -> list[Arc]:
         """Ways on from a place."""
@@ -189,26 +212,30 @@ class Model:
             self._flat = self.costs.ravel().tolist()
         flat, size = self._flat, len(token)
         # At each place: the last three classes, as one number, to the cost and the letters so far, linked backwards.
-        states: list[dict] = [{} for _ in range(size + 1)]
-        states[0][0] = (0.0, None)
+        states: dict[int, dict] = {0: {0: (0.0, None)}}
         bare = [at for at, c in enumerate(token) if c.isalnum()] or [size] if loose else []
-        for at in range(size):
-            arcs = self.arcs(token, at)
-            if loose and not bare[0] <= at <= bare[-1]:
-                arcs = [*arcs, (1, "", (), NOTHING)]
-            for context, (cost, path) in states[at].items():
-                for taken, letters, symbols, price in arcs:
-                    here, total = context, cost + price
-                    for symbol in symbols:
-                        here = here * LETTERS + symbol
-                        total += flat[here]
-                        here = here % CONTEXTS if symbol else 0
-                    onward = states[at + taken]
-                    old = onward.get(here)
-                    if old is None or total < old[0]:
-                        onward[here] = (total, (path, letters))
-            states[at] = {}
-        if not states[size]:
+        done = 0
+        for match in [*BRANCHING.finditer(token), None]:
+            start, end = match.span() if match else (size, size)
+            if start > done:
+                self._pass(states, token[done:start], done)
+            for at in range(start, end):
+                arcs = self.arcs(token, at)
+                if loose and not bare[0] <= at <= bare[-1]:
+                    arcs = [*arcs, (1, "", (), NOTHING)]
+                for context, (cost, path) in states.pop(at, {}).items():
+                    for taken, letters, symbols, price in arcs:
+                        here, total = context, cost + price
+                        for symbol in symbols:
+                            here = here * LETTERS + symbol
+                            total += flat[here]
+                            here = here % CONTEXTS if symbol else 0
+                        onward = states.setdefault(at + taken, {})
+                        old = onward.get(here)
+                        if old is None or total < old[0]:
+                            onward[here] = (total, (path, letters))
+            done = end
+        if not states.get(size):
             return token
         _, path = min(
             ((cost + flat[context * LETTERS], path) for context, (cost, path) in states[size].items()),
@@ -220,6 +247,22 @@ class Model:
             parts.append(letters)
         return "".join(reversed(parts))
 
+    def _pass(self, states: dict[int, dict], letters: str, at: int) -> None:
+        """Take all states at a place through letters that can only stand for themselves."""
+        flat, onward = self._flat, states.setdefault(at + len(letters), {})
+        first, tail, end = self.segment(letters)
+        for context, (cost, path) in states.pop(at, {}).items():
+            for symbol in first:
+                context = context * LETTERS + symbol
+                cost += flat[context]
+                context %= CONTEXTS
+            cost += tail
+            if end is not None:
+                context = end
+            old = onward.get(context)
+            if old is None or cost < old[0]:
+                onward[context] = (cost, (path, letters))
+
     def features(self, token: str) -> list[str]:
         """Distinct features of the words that a raw lower-case token may stand for."""
         return list(dict.fromkeys(f for word in self.words(token) for f in word_features(word)))
@@ -236,7 +279,7 @@ class Model:
             if not suspicious(word) or word.isalpha():
                 found.append(word)
         signs = len(word) - len(word.strip(ALIKE))  # the last reading has all signs
-        if signs > 1 and any(map(str.isalnum, word)):
+        if signs > 1 and any(map(str.isalnum, word)) and (known is None or known.may_begin(word)):
             found.append(self.restore(word, loose=True))
         return list(dict.fromkeys(found))
 
@@ -250,10 +293,12 @@ class Model:
 
         None if no feature's share exceeds the base rate.
         """
-        best = None
+        best, shares, heads = None, self.shares, self._heads
         for word in words:
+            if word not in shares and word[: PREFIXES[0]] not in heads:
+                continue
             features = word_features(word)
-            share = max((self.shares.get(f, 0.0) for f in features), default=0.0)
+            share = max((shares.get(f, 0.0) for f in features), default=0.0)
             if share > self.base:
                 own = share, max(self.sure.get(f, 0.0) for f in features), word
                 best = max(best or own, own, key=lambda e: (e[1], e[0]))
@@ -265,22 +310,22 @@ class Model:
 
     def summary(self) -> Callable[[str], tuple[list[float], float]]:
         """A function from texts to what the regression weighs, and the highest bound that decides alone or 0."""
-        # By token without the signs around it: the evidence, and whether a word with evidence may begin with it.
-        memory: dict[str, tuple[tuple[float, float, str] | None, bool]] = per_worker(self.key, dict)
-        bones: dict[str, str] = per_worker((f"{self.key[0]} bones", self.key[1]), dict)
+        # By token without the signs around it: the evidence, whether a word with evidence may begin
+        # with the token, and its skeleton.
+        memory: dict[str, tuple[tuple[float, float, str] | None, bool, str]] = per_worker(self.key, dict)
         known = Known(self.shares, self.base)
 
-        def look(token: str) -> tuple[tuple[float, float, str] | None, bool]:
+        def look(token: str) -> tuple[tuple[float, float, str] | None, bool, str]:
+            bones = skeleton(token)
             if not token.isalpha() or DOUBLED.search(token):
-                return self.evidence(token, known), "*" in token or skeleton(token) in known.begun
-            return self.weigh([token]), skeleton(token) in known.begun
+                return self.evidence(token, known), "*" in token or bones in known.begun, bones
+            return self.weigh([token]), bones in known.begun, bones
 
         def summarise(text: str) -> tuple[list[float], float]:
-            for kept in (memory, bones):
-                if len(kept) > KNOWN:
-                    newer = dict(islice(kept.items(), len(kept) // 2, None))
-                    kept.clear()
-                    kept.update(newer)
+            if len(memory) > KNOWN:
+                newer = dict(islice(memory.items(), len(memory) // 2, None))
+                memory.clear()
+                memory.update(newer)
             words = text.lower().split()
             tokens = set(words)
             inner = {token: token.strip(AROUND) for token in tokens}
@@ -289,7 +334,7 @@ class Model:
             found = {memory[token][0] for token in inner.values()}
             opening = {token for token, own in inner.items() if memory[own][1]}
             if known.longest and opening:
-                for run in runs_at(words, known.joined(words, opening, bones)):
+                for run in runs_at(words, known.joined(words, opening, lambda word: memory[inner[word]][2])):
                     found.update(self.weigh([word]) for word in self.joined(run))
             found.discard(None)
             shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
@@ -404,19 +449,24 @@ class Known:
     def may_be(self, token: str) -> bool:
         """Whether a reading of the token may have evidence."""
         if "*" in token:
-            return True
+            return self.may_begin(token)
         bones = skeleton(token)
         return bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes)
 
-    def joined(self, words: list[str], opening: set[str], bones_of: dict[str, str]) -> Iterator[int]:
+    def may_begin(self, token: str) -> bool:
+        """Whether what stands in front of the token's first sign may begin a word with evidence."""
+        bones = skeleton(token[: next((at for at, c in enumerate(token) if c in ALIKE), len(token))])
+        return bones in self.begun or any(bones[:n] in self.prefixes for n in self.sizes)
+
+    def joined(self, words: list[str], opening: set[str], bones_of: Callable[[str], str]) -> Iterator[int]:
         """Places of tokens that, joined with the next ones, may be read as a word with evidence.
 
-        ``opening`` has the tokens with which such a word may begin; ``bones_of`` remembers skeletons.
+        ``opening`` has the tokens with which such a word may begin; ``bones_of`` gives skeletons.
         """
         for at, word in enumerate(words[:-1]):
             if word not in opening or (len(word) > SHORT and len(words[at + 1]) > SHORT):
                 continue
-            bones, letters = skeleton(word), 1
+            bones, letters = bones_of(word), 1
             for nxt in range(at + 1, len(words)):
                 token = words[nxt]
                 if len(token) > SHORT and len(words[nxt - 1]) > SHORT:
@@ -424,14 +474,15 @@ class Known:
                 if "*" in token:
                     yield at
                     break
-                more = bones_of.get(token)
-                if more is None:
-                    more = bones_of[token] = skeleton(token)
+                more = bones_of(token)
                 if not more:
                     continue
-                old, letters = len(bones), letters + 1
-                bones = DOUBLED_ALL.sub(r"\1", bones + more)
-                if bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes if n >= old):
+                old, letters, known = len(bones), letters + 1, bones in self.prefixes
+                bones += more[bones[-1:] == more[0] :]
+                # Nothing known goes on like this unless one letter more does, if there is one.
+                if not known and bones[: old + 1] not in self.begun:
+                    break
+                if known or bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes if n > old):
                     yield at
                     break
                 if bones not in self.begun or letters > self.longest:
