@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 T = TypeVar("T")
 
 SALTS = 64  # shares into which the rows of one key are dealt; the same for every key
+REPEATS = 4096  # equal rows that one task makes of one
 BATCH_BYTES = 8 << 20  # text that a Python task works on at a time
 
 
@@ -26,15 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that driver and executors share.
 
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in a local session, it
-    is a folder in the warehouse, which all executors share too.
+    It is the one in ``spark.checkpoint.dir``. Where that is unset, a local session, whose executors
+    are the driver, takes a folder in its warehouse; a cluster can't go on.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there."""
     shared_folder(df.sparkSession)
@@ -58,6 +67,21 @@ def attach(rows: DataFrame, values: DataFrame, key: str, spread: str, salts: int
     return dealt.join(shares.join(values, key), [key, "_share"], "left").drop("_share")
 
 
+def one_of_each(rows: DataFrame, key: Sequence[str], copies: str) -> DataFrame:
+    """One row per key, where ``copies`` tells how many there are; only rows that aren't alone are shuffled."""
+    again = rows.filter(F.col(copies) > 1).dropDuplicates(list(key))
+    return rows.filter(F.col(copies) == 1).unionByName(again)
+
+
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as ``copies`` says, without that column; many copies are made by several tasks."""
+    others = [c for c in rows.columns if c != copies]
+    blocks = rows.filter(F.col(copies) > 1).withColumn("_block", F.expr(f"explode(sequence(0L, ({copies} - 1) div {REPEATS}))"))
+    own = f"least({REPEATS}L, {copies} - _block * {REPEATS})"
+    again = blocks.repartition(*others, "_block").withColumn("_copy", F.expr(f"explode(sequence(1L, {own}))"))
+    return rows.filter(F.col(copies) == 1).select(*others).unionByName(again.select(*others))
+
+
 def text_slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes of text each, so that memory doesn't follow text length.
 

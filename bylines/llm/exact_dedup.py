@@ -6,8 +6,7 @@
 3. The winners of the salts, at most ``salts`` per text, are combined by digest.
 
 Every stage groups by the whole text beside its digest, so texts are equal only if their content
-is. The digest alone serves to tell rows their group afterwards; if two different texts share a
-digest, the rows with it are told by their text instead.
+is. Rows are told their group afterwards by SHA-256, a second hash and the length of their text.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bylines.llm.common import SALTS, attach, checkpointed, share
+from bylines.llm.common import SALTS, attach, checkpointed, one_of_each, repeated, share
+from bylines.operators.joins import unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 KEY = "struct(digest, xxhash64(_text) AS second, length(_text) AS length)"
@@ -46,6 +46,11 @@ def exact_groups(
     equal text has an id. A row that repeats both id and text is the same document and has the same
     result. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
+    return repeated(_grouped(docs, id_col, text_col, salts, digest), "copies")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """The columns of ``exact_groups``, and ``copies``: rows that repeat id and text are one."""
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("_text")
     ).select("doc_id", "_text", digest(F.col("_text")).alias("digest"))
@@ -61,15 +66,21 @@ def exact_groups(
     )
     # The texts are combined once, here; what is kept of a group is small.
     groups = checkpointed(groups.drop("digest"))
-    found = attach(rows.selectExpr("doc_id", "digest", f"{KEY} AS _key"), groups, "_key", "doc_id", salts)
-    return found.select(
-        "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    )
+    apart = rows.selectExpr("doc_id", "digest", f"{KEY} AS _key").groupBy("doc_id", "digest", "_key")
+    apart = apart.agg(F.count(F.lit(1)).alias("copies"))
+    found = attach(apart, groups, "_key", "doc_id", salts)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return found.select("doc_id", "digest", "keep_id", "group_size", kept, "copies")
 
 
-def keep_first(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) whose text no earlier row has, with all their columns."""
-    kept = exact_groups(docs, salts=salts).filter("kept").select("doc_id", "digest").distinct()
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    same = F.expr("doc_id <=> _id") & (sha256(normalised(F.col("text"))) == F.col("_digest"))
-    return docs.join(kept, same, "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row of ``docs`` per text, with all its columns: the row with the smallest id.
+
+    Of rows that repeat id and text, and of the rows with a text none of which has an id, one stays,
+    whichever of them. An empty table gives no rows. Columns may have any names.
+    """
+    number, digest, copies = unused(["_id", "_digest", "_copies"], docs.columns)
+    kept = _grouped(docs, id_col, text_col, salts, sha256).filter("kept")
+    kept = kept.select(F.col("doc_id").alias(number), F.col("digest").alias(digest), F.col("copies").alias(copies))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(number)) & (sha256(normalised(F.col(f"`{text_col}`"))) == F.col(digest))
+    return one_of_each(docs.join(kept, same), [number, digest], copies).drop(number, digest, copies)

@@ -5,6 +5,11 @@ the training texts know it; the transitions are learned, so a word that tells li
 language from its neighbours, and a text may switch. Forward-backward gives each word the
 probabilities of its languages; a text's language is the one with the highest mean over its words.
 
+The chain runs over the whole text. For speed all stretches of ``STRETCH`` words of all texts of a
+batch are worked on in step: first what each stretch makes of any state before it, a small matrix,
+then the messages from stretch to stretch, forward and backward, and last the words inside. This is
+the plain chain's result.
+
 The field is trained on a bounded sample of labelled texts. A text's language is taken as that of all
 its words, and half of the sequences are joined from texts of two languages, so that switches occur.
 """
@@ -12,7 +17,6 @@ its words, and half of the sequences are joined from texts of two languages, so
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,21 +24,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bylines.llm.common import map_text
 from bylines.llm.crf import maximise
 
-SAMPLE = 4_000  # labelled texts that the field is trained on, by a hash of the id
+SAMPLE = 4_000  # labelled texts that the field is trained on, as many of each language
+PER_LANGUAGE = 1_000  # at most; up to here Spark picks a group's first rows before it shuffles
 PIECE = 24  # words of a text in a training sequence, from its middle
 OFTEN = 3  # times a feature must occur in the training sequences to have a weight
 EPOCHS = 40
-STRETCH = 64  # words of a text that the chain runs over together
+STRETCH = 64  # words of a text that are worked on in step
+TOGETHER = 4_000_000  # numbers in the matrices of stretches that are made at a time
 KNOWN = 300_000  # words whose scores a task remembers
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SIGNS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "0123456789«»„“”’…¿¡"
 
 
@@ -98,16 +105,25 @@ def fit(
     lang_col: str = "lang",
     sample: int = SAMPLE,
 ) -> Field | None:
-    """A field from at most ``sample`` rows with text and language for which ``learnable`` (SQL on doc_id) holds."""
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text", f"`{lang_col}` AS lang")
+    """A field from at most ``sample`` rows with text and language for which ``learnable`` (SQL on doc_id) holds.
+
+    Each language has the same number of them, or all that it has; of equal texts with the same
+    language one counts. They are chosen by a hash of the text, so a rare language is learnt as well.
+    """
+    rows = docs.selectExpr(
+        f"`{id_col}` AS doc_id", f"`{text_col}` AS text", f"`{lang_col}` AS lang", f"xxhash64(`{text_col}`, 5) AS order"
+    )
     rows = rows.filter(f"doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND ({learnable})")
-    order = F.xxhash64("doc_id", F.lit(5))
-    chosen = rows.select("doc_id", order.alias("order")).distinct().orderBy("order", "doc_id").limit(sample)
-    # ``sample`` rows, of which only the words that training uses come to the driver.
+    apart = rows.groupBy("lang", "order").agg(F.min("doc_id").alias("doc_id"))
+    spoken = rows.select("lang").distinct().count()
+    each = min(PER_LANGUAGE, max(1, sample // max(1, spoken)))
+    first = F.expr("row_number() OVER (PARTITION BY lang ORDER BY order, doc_id)")
+    chosen = apart.withColumn("_first", first).filter(f"_first <= {each}").drop("_first")
+    # About ``sample`` rows, of which only the words that training uses come to the driver.
     words = r"split(regexp_replace(text, '\\s+', ' '), ' ')"
     middle = f"slice(w, greatest(1, (size(w) - {PIECE}) DIV 2), {PIECE + 2})"
-    taken = rows.join(F.broadcast(chosen), "doc_id").selectExpr("order", "lang", f"{words} AS w")
-    found = taken.selectExpr("order", "lang", f"array_join({middle}, ' ') AS piece").collect()
+    taken = rows.join(F.broadcast(chosen), ["doc_id", "lang", "order"]).selectExpr("order", "lang", f"{words} AS w")
+    found = taken.selectExpr("order", "lang", f"array_join({middle}, ' ') AS piece").distinct().collect()
     return train([(r["piece"], r["lang"]) for r in sorted(found, key=lambda r: (r["order"], r["lang"], r["piece"]))])
 
 
@@ -134,17 +150,23 @@ def tagger(field: Field) -> Callable[[list[str]], list[tuple[str, float, int]]]:
         memory.update(zip(words, range(len(memory), len(memory) + len(words)), strict=True))
 
     def posteriors(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probabilities per word; the chain runs over stretches of a text, all stretches in step."""
+        """Probabilities of the languages of each word, given the text's whole chain."""
         score = state["table"][ids]
         local = np.exp(score - score.max(axis=1, keepdims=True))
         place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.flatnonzero(place % STRETCH == 0)
+        number = place[starts] // STRETCH  # of the stretch in its text
         lengths = np.diff(np.append(starts, len(ids)))
+        last = np.append(number[1:] == 0, True)[: len(starts)]
+        through = matrices(local, starts, lengths, number > 0)
+        before, after = messages(local, starts, lengths, number, last, through)
+
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
+        starts, lengths, before, after = starts[order], lengths[order], before[order], after[order]
         live = [int(np.searchsorted(-lengths, -k, side="right")) for k in range(1, STRETCH + 1)]
-        ahead, behind = np.empty_like(local), np.ones_like(local)
-        now = local[starts] * begin
+        ahead, behind = np.empty_like(local), np.empty_like(local)
+        behind[starts + lengths - 1] = after
+        now = before * local[starts]
         ahead[starts] = now = now / now.sum(axis=1, keepdims=True)
         for k in range(1, STRETCH):
             at = starts[: live[k]] + k
@@ -160,6 +182,55 @@ def tagger(field: Field) -> Callable[[list[str]], list[tuple[str, float, int]]]:
         both = ahead * behind
         return both / both.sum(axis=1, keepdims=True)
 
+    def matrices(local: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """For each wanted stretch, what leads from the state before it to that of its last word, up to a factor."""
+        found = np.zeros((len(starts), size, size) if wanted.any() else (0, size, size))
+        chosen = np.flatnonzero(wanted)
+        step = max(1, TOGETHER // size**2)
+        for part in (chosen[i : i + step] for i in range(0, len(chosen), step)):
+            part = part[np.argsort(-lengths[part], kind="stable")]
+            now = np.tile(np.eye(size), (len(part), 1, 1))
+            for k in range(int(lengths[part[0]])):
+                live = int(np.searchsorted(-lengths[part], -(k + 1), side="right"))
+                own = (now[:live] @ between) * local[starts[part[:live]] + k][:, None, :]
+                now[:live] = own / own.sum(axis=(1, 2), keepdims=True)
+            found[part] = now
+        return found
+
+    def messages(
+        local: np.ndarray,
+        starts: np.ndarray,
+        lengths: np.ndarray,
+        number: np.ndarray,
+        last: np.ndarray,
+        through: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Per stretch: weights of its first word's languages from before it, and of its last word's from behind."""
+        before, after = np.tile(begin, (len(starts), 1)), np.ones((len(starts), size))
+        stretches = np.arange(len(starts))
+        first = stretches[(number == 0) & ~last]
+        if not len(first):
+            return before, after
+        # The state of the last word of the first stretch of texts with several, all in step.
+        now = begin * local[starts[first]]
+        for k in range(1, STRETCH):
+            now = now / now.sum(axis=1, keepdims=True)
+            now = (now @ between) * local[starts[first] + k]
+        sizes = np.diff(np.append(stretches[number == 0], len(starts)))[~last[number == 0]]
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes, now = first[order], sizes[order], now[order]
+        for k in range(1, int(sizes[0])):
+            live = int(np.searchsorted(-sizes, -(k + 1), side="right"))
+            now = now[:live] / now[:live].sum(axis=1, keepdims=True)
+            at = first[:live] + k
+            before[at] = now @ between
+            now = (now[:, None, :] @ through[at])[:, 0, :]
+        for k in range(int(sizes[0]) - 1, 0, -1):
+            at = first[: int(np.searchsorted(-sizes, -(k + 1), side="right"))] + k
+            back = (through[at] @ after[at][:, :, None])[:, :, 0]
+            after[at - 1] = back / back.sum(axis=1, keepdims=True)
+        return before, after
+
     def tag(texts: list[str]) -> list[tuple[str, float, int]]:
         if len(memory) > KNOWN:
             memory.clear()

@@ -1,7 +1,8 @@
 """Secrets by fixed patterns and a linear-chain conditional random field.
 
 The base patterns are searched for in the whole text. The field tags every token (a run without white
-space) as outside a secret, its beginning, or inside. Its features are the token's shape, the shapes
+space, cut behind commas, semicolons, ampersands and braces, as in JSON and URLs) as outside a secret,
+its beginning, or inside. Its features are the token's shape, the shapes
 of both neighbours, and features of the text. It is trained on sequences in which the base patterns
 mark the secrets, on a bounded sample; in part of them key words or values are disguised, so that it
 learns from shape and neighbourhood what the patterns do not name.
@@ -23,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bylines.llm.common import map_text
+from bylines.llm.common import checkpointed, map_text
 from bylines.llm.crf import maximise
 
 # The base patterns and the least lengths of what counts.
@@ -44,6 +45,7 @@ HINTS = (*WORDS, "key", "auth", "credential", "bearer")
 HINT = re.compile("(?i)" + "|".join(HINTS))
 QUOTES = "\"'`,;:.()[]{}<>"
 SPECIAL = re.compile("[0-9=:]")
+TOKEN = re.compile(r"[^\s,;&{}]+[,;&{}]*|[,;&{}]+")
 # a to z as a, A to Z as A, digits as 9, bytes beyond ASCII as u; signs stay.
 CLASS_BYTES = bytes(
     ord("u") if b >= 128 else ord("a") if chr(b).islower() else ord("A") if chr(b).isupper()
@@ -127,12 +129,12 @@ def window(text: str) -> tuple[list[str], list[int]]:
     """A training sequence: tokens around the first base secret with their tags, or around the oddest token."""
     spans = base_spans(text)
     if not spans:
-        words = text.split()
+        words = TOKEN.findall(text)
         odd = max(range(len(words)), key=lambda i: (bool(SPECIAL.search(words[i])), len(words[i])), default=0)
         words = words[max(0, odd - AROUND) : odd + AROUND + 1]
         return words, [OUTSIDE] * len(words)
     begin, end = max(0, spans[0][0] - 200), spans[0][1] + 200
-    around = [m for m in re.finditer(r"\S+", text[begin:end])]
+    around = [m for m in TOKEN.finditer(text[begin:end])]
     around = around[begin > 0 : len(around) - (end < len(text))]  # those at the rim may be cut
     tags, last = [], -1
     for match in around:
@@ -277,7 +279,7 @@ def tagger(field: Field) -> Callable[[list[str]], list[list[Span]]]:
             memory.clear()
             plain.clear()
             used[0] = -1
-        cut = [t.split() for t in texts]
+        cut = list(map(TOKEN.findall, texts))
         counts = np.array([len(c) for c in cut], np.int64)
         get = memory.get
         ids = np.array([n if (n := get(w)) is not None else number(w) for c in cut for w in c], np.int64)
@@ -309,9 +311,9 @@ def tagger(field: Field) -> Callable[[list[str]], list[list[Span]]]:
 
 
 def with_tagged(text: str, base: list[Span], tags: list[int]) -> list[Span]:
-    """Base spans and those of the tags that touch none of them, without the signs around them."""
+    """Base spans, and those of the tags, without the signs around them, as far as no base span covers them."""
     found, start, end = [], -1, -1
-    for match, tag in zip(re.finditer(r"\S+", text), tags, strict=True):
+    for match, tag in zip(TOKEN.finditer(text), tags, strict=True):
         if tag != INSIDE and start >= 0:
             found.append((start, end))
             start = -1
@@ -321,15 +323,28 @@ def with_tagged(text: str, base: list[Span], tags: list[int]) -> list[Span]:
         found.append((start, end))
     spans = list(base)
     for a, b in found:
-        while a < b and not text[a].isalnum():
-            a += 1
-        while b > a and not (text[b - 1].isalnum() or text[b - 1] in "=+/_-"):
-            b -= 1
-        if b - a >= SHORTEST and all(b <= x or a >= y for x, y, _ in base):
-            spans.append((a, b, "crf"))
+        for c, d in uncovered(a, b, base):
+            while c < d and not text[c].isalnum():
+                c += 1
+            while d > c and not (text[d - 1].isalnum() or text[d - 1] in "=+/_-"):
+                d -= 1
+            if d - c >= SHORTEST:
+                spans.append((c, d, "crf"))
     return in_order(spans)
 
 
+def uncovered(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of a stretch of text that lie in none of the spans, which are sorted by their start."""
+    parts = []
+    for a, b, _ in base:
+        if a >= end:
+            break
+        if a > start:
+            parts.append((start, a))
+        start = max(start, b)
+    return [*parts, (start, end)] if start < end else parts
+
+
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, pool: int = POOL
 ) -> Field:
@@ -359,9 +374,9 @@ def fit(
 
     schema = "order bigint, marked boolean, words array<string>, tags array<int>, whole array<string>"
     cuts = map_text(rows.join(F.broadcast(chosen), "doc_id").select("order", "text"), work, schema)
-    place = F.row_number().over(Window.partitionBy("marked").orderBy("order", "words"))
-    taken = cuts.filter("size(words) > 0").withColumn("place", place).filter(F.col("place") <= sample).collect()
-    taken.sort(key=lambda r: (not r["marked"], r["place"]))
+    cuts = checkpointed(cuts.filter("size(words) > 0"))  # at most ``pool`` rows
+    halves = (cuts.filter(F.col("marked") == marked) for marked in (True, False))
+    taken = [row for half in halves for row in half.orderBy("order", "words").limit(sample).collect()]
     rng = random.Random(7)
     sequences = [(r["words"], r["tags"], tuple(r["whole"])) for r in taken]
     sequences += [(disguised(w, t, rng), t, whole) for w, t, whole in sequences if BEGIN in t]
@@ -372,7 +387,7 @@ def find_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     """doc_id and spans, an array of (start, end, kind), of every row.
 
     Spans are in code points, end exclusive, by start and then kind; kind is one of assign, access
-    and hex (the base patterns, which may overlap) and crf (tagged, not touching a base span). NULL
+    and hex (the base patterns, which may overlap) and crf (tagged, and covered by no base span). NULL
     and empty texts have none. Rows that repeat each get their spans. Other columns are ignored.
     """
 

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bylines.llm.common import attach, checkpointed, map_text, texts
+from bylines.llm.common import attach, checkpointed, map_text, one_of_each, repeated, texts
 from bylines.llm.components import components
+from bylines.operators.joins import unused
 
 SHINGLE = 3  # words
 SEED = 42
@@ -58,7 +59,7 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (bigint) of every row; NULL and texts without words have fingerprint 0."""
+    """doc_id, fingerprint (bigint) and text_hash of every row; NULL and texts without words have fingerprint 0."""
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def fingerprint(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -68,14 +69,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hashes.append(np.array(own, np.uint64))
                 counts.append(len(own))
             joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            found = majorities(joined, np.array(counts, np.int64)).view(np.int64)
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
+            found = pa.array(majorities(joined, np.array(counts, np.int64)).view(np.int64))
+            columns = [part.column("doc_id"), found, part.column("text_hash")]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "text_hash"])
 
         return fingerprint
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return map_text(rows, work, f"doc_id {kind}, fingerprint bigint")
+    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text", f"xxhash64(`{text_col}`) AS text_hash")
+    return map_text(rows, work, f"doc_id {kind}, fingerprint bigint, text_hash bigint")
 
 
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -116,6 +118,15 @@ def near_duplicates(
     component whose rows all lack an id has a NULL component_id. Rows that repeat a document lie in
     its component. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
+    found = _classes(docs, id_col, text_col, size, crowd)
+    return repeated(found.select("doc_id", "fingerprint", "component_id", "copies"), "copies")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, crowd: int) -> DataFrame:
+    """doc_id, fingerprint, text_hash, root (a fingerprint of the component), component_id and copies.
+
+    Rows that repeat id and text are one.
+    """
     found = checkpointed(fingerprints(docs, id_col, text_col, size))
     prints = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints.select("fingerprint"), crowd)).withColumnRenamed("node", "fingerprint")
@@ -123,14 +134,27 @@ def near_duplicates(
         "fingerprint", "first", "coalesce(root, fingerprint) AS root"
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    values = attach(rooted.select("fingerprint", "root"), smallest, "root", "fingerprint").drop("root")
-    return attach(found, values, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
+    values = attach(rooted.select("fingerprint", "root"), smallest, "root", "fingerprint")
+    apart = found.groupBy("doc_id", "fingerprint", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    apart = apart.withColumn("_spread", F.xxhash64("doc_id", "text_hash"))
+    return attach(apart, values, "fingerprint", "_spread").drop("_spread")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) with the smallest id of their component, with all their columns.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, crowd: int = CROWD
+) -> DataFrame:
+    """One row of ``docs`` per component, with all its columns: the row with the smallest id.
 
-    Rows without id stay if their component has no id at all.
+    In a component without any id it is the row with the smallest hash of its text, and so among rows
+    that share the smallest id. Of rows that repeat id and text one stays, whichever of them. An empty
+    table gives no rows. Columns may have any names.
     """
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.expr("doc_id <=> _id"), "left_semi")
+    number, digest, copies = unused(["_id", "_hash", "_copies"], docs.columns)
+    rows = _classes(docs, id_col, text_col, size, crowd).filter("doc_id <=> component_id")
+    least = rows.groupBy("root").agg(F.min("text_hash").alias("_least"))
+    # Only the least id's rows are left, or those of components without ids: dealt over shares as before.
+    rows = rows.withColumn("_spread", F.xxhash64("doc_id", "text_hash"))
+    kept = attach(rows, least, "root", "_spread").filter("text_hash = _least")
+    kept = kept.select(F.col("doc_id").alias(number), F.col("text_hash").alias(digest), F.col("copies").alias(copies))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(number)) & (F.xxhash64(f"`{text_col}`") == F.col(digest))
+    return one_of_each(docs.join(kept, same), [number, digest], copies).drop(number, digest, copies)

@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 CLASHING = (
     "score", "kept", "digest", "row", "place", "hash", "fingerprint", "component_id", "spans", "items", "n_words",
     "n_tokens", "group_size", "keep_id", "matches", "_share", "_salt", "_text", "_key", "value", "order", "bucket",
+    "_id", "_digest", "_hash", "_copies", "copies", "root", "_root", "_spread", "_block", "taken", "size", "source_size",
 )
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(
     f"`{c}` string" for c in CLASHING

@@ -59,7 +59,7 @@ def test_no_python_in_exact_groups(spark, documents):
 def test_keep_first_keeps_all_columns(awkward):
     kept = exact_dedup.keep_first(awkward)
     assert kept.columns == awkward.columns
-    want = Counter((i, t) for (i, t), g in zip(AWKWARD, groups_by_text(AWKWARD), strict=True) if g[3])
+    want = Counter({(i, t) for (i, t), g in zip(AWKWARD, groups_by_text(AWKWARD), strict=True) if g[3]})  # one row each
     assert Counter((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()) == want
 
 
@@ -209,3 +209,30 @@ def test_empty_tables(nothing):
         substring_dedup.remove_repeats(nothing),
     ):
         assert frame.count() == 0
+
+
+def kept_texts(df):
+    return sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+
+
+def test_one_row_stays_whatever_the_ids(spark):
+    """Several components and texts without any id, near copies of rows with one, and ids that repeat."""
+    one, two, three = prose(40, 60), prose(41, 60), prose(42, 60)
+    near = one.rsplit(" ", 1)[0]
+    assert (fingerprint(one) ^ fingerprint(near)).bit_count() <= 2
+    rows = [(None, near), (None, near), (7, one), (7, one), (9, one), (None, two), (None, two), (None, three), (8, near)]
+    rows += [(7, prose(43, 60))]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, _id string, _digest string")
+    df = df.repartition(3)
+    want = [(7, one), (7, rows[-1][1]), (None, two), (None, three)]
+    assert kept_texts(simhash.keep_one(df)) == sorted((str(i), t) for i, t in want)
+    assert simhash.keep_one(df).columns == exact_dedup.keep_first(df).columns == df.columns
+    assert kept_texts(exact_dedup.keep_first(df)) == sorted((str(i), t) for i, t in [*want, (8, near)])
+
+
+def test_a_row_repeated_for_a_third_of_the_table(spark):
+    rows = [(1, prose(50, 30))] * 9000 + [(None, prose(51, 30))] * 9000 + [(i, prose(60 + i % 40, 30)) for i in range(2, 9002)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert len(kept_texts(exact_dedup.keep_first(df))) == len(kept_texts(simhash.keep_one(df))) == 42
+    for found in (exact_dedup.exact_groups(df), simhash.near_duplicates(df)):
+        assert Counter(r["doc_id"] for r in found.collect()) == Counter(i for i, _ in rows)

@@ -148,10 +148,12 @@ def test_languages_on_held_out_rows(larger):
     assert tag([by["de"]]) == tag([by["fr"], by["de"]])[1:]
 
 
-def test_posteriors_equal_a_plain_chain(documents):
+@pytest.mark.parametrize("length", [1, 40, 64, 65, 128, 500, 1000])
+def test_posteriors_equal_a_plain_chain(documents, length):
     field = languages.fit(documents)
-    text = " ".join(r["text"] for r in documents.select("text").limit(3).collect())
-    words = text.split()[: languages.STRETCH]
+    text = " ".join(r["text"] for r in documents.orderBy("doc_id").select("text").limit(12).collect())
+    words = text.split()[:length]
+    assert len(words) == length
     size = len(field.languages)
     score = np.array([
         sum((field.weights[field.index[f]] for f in languages.word_features(w) if f in field.index), np.zeros(size))
@@ -167,9 +169,24 @@ def test_posteriors_equal_a_plain_chain(documents):
     chance = np.exp(chance - np.logaddexp.reduce(chance, axis=1, keepdims=True))
     letters = np.array([bool(languages.LETTER.search(w)) for w in words])
     mean = chance[letters].mean(axis=0)
-    (lang, score, _) = languages.tagger(field)([" ".join(words)])[0]
+    tag = languages.tagger(field)
+    (lang, score, _) = tag([" ".join(words)])[0]
     assert lang == field.languages[mean.argmax()]
     assert score == pytest.approx(mean.max(), abs=1e-9)
+    # Beside texts of other lengths the result is the same.
+    beside = [text[:5000], " ".join(words), "", "und", " ".join(words[:70]), text[100:3000]]
+    assert tag(beside)[1][1] == pytest.approx(score, abs=1e-12)
+
+
+def test_a_rare_language_is_learnt(spark, documents):
+    common = documents.filter("lang = 'en'").select("text").limit(40).collect()
+    rows = [(i, f"{common[i % len(common)]['text']} {i}", "en") for i in range(6000)]
+    rows += [(7000, "zzq vvrk qqx wwzk " * 30, "xx"), (7001, "zzq vvrk qqx wwzk " * 30, "xx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    field = languages.fit(df)
+    assert field.languages == ["en", "xx"]
+    assert languages.tagger(field)(["qqx zzq vvrk wwzk qqx", common[0]["text"], "½ ² 12"]) [0][0] == "xx"
+    assert languages.tagger(field)(["½ ² 12"]) == [("und", 0.0, 0)]
 
 
 def test_language_defined_results(spark, awkward, nothing, documents):

@@ -298,3 +298,40 @@ def test_field_adds_spans_and_keeps_base_ones(spark, documents, awkward, nothing
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in AWKWARD)
     assert secrets.find_secrets(nothing, secrets.fit(nothing)).count() == 0
     assert tag(["the token=abcdefghijklmnop end"] * 2)[0] == tag(["the token=abcdefghijklmnop end"])[0]
+
+
+def test_tagged_spans_are_cut_at_base_spans():
+    text = '{"password":"abcdefghijkl","db_credential":"Zx9Qw81LmN0pRt55"}'
+    tokens = secrets.TOKEN.findall(text)
+    assert "".join(tokens) == text
+    spans = secrets.with_tagged(text, secrets.base_spans(text), [secrets.BEGIN, *[secrets.INSIDE] * (len(tokens) - 1)])
+    assert [(text[a:b], kind) for a, b, kind in spans] == [
+        ('password":"abcdefghijkl', "assign"),
+        ('db_credential":"Zx9Qw81LmN0pRt55', "crf"),
+    ]
+    base = [(3, 5, "hex"), (4, 8, "assign"), (10, 12, "hex")]
+    assert secrets.uncovered(0, 20, base) == [(0, 3), (8, 10), (12, 20)]
+    assert secrets.uncovered(4, 7, base) == []
+    assert secrets.uncovered(0, 2, []) == [(0, 2)]
+
+
+def test_precision_and_recall_of_added_spans(documents):
+    """Values under names that no base pattern has, in prose, JSON and URLs, beside prose without any."""
+    tag = secrets.tagger(secrets.fit(documents))
+    rng = random.Random(12)
+    forms = ('db_credential = "{}"', '{{"user":"me","auth_key":"{}","n":3}}', "https://host/p?a=1&signature={}&b=2", "pwd: {}")
+    cases = []
+    for _ in range(200):
+        value = "".join(rng.choice("abcdefABCDEFGHJK0123456789") for _ in range(rng.randint(16, 40)))
+        cases.append((f"{prose(rng.random(), 12)} {rng.choice(forms).format(value)} {prose(rng.random(), 12)}", value))
+    cases += [(prose(rng.random(), 40), None) for _ in range(200)]
+    right = added = 0
+    for (text, value), spans in zip(cases, tag([text for text, _ in cases]), strict=True):
+        own = [text[a:b] for a, b, kind in spans if kind == "crf"]
+        added += len(own)
+        right += sum(value is not None and value in s for s in own)
+        if value is not None and not own:  # named by a base pattern after all
+            right, added = right + any(value in text[a:b] for a, b, _ in spans), added + bool(spans)
+    print(f"precision {right / added:.3f}, recall {right / 200:.3f}")
+    assert right / added > 0.9
+    assert right / 200 > 0.6  # of a field that 200 texts taught
