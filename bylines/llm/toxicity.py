@@ -46,7 +46,7 @@ PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SHORT = 3  # most characters of a token that may be a part of a word
 KNOWN = 300_000  # tokens whose evidence a worker remembers
-OPENED = 100_000  # tokens whose features a worker remembers
+OPENED = 200_000  # tokens whose features a worker remembers
 
 # What a character may stand for besides itself.
 LOOKS = {
@@ -528,40 +528,20 @@ def fit(
         .limit(sample)
     )
 
-    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        known: dict[str, list[str]] = per_worker(("toxicity features", plain.key[1]), dict)
-
-        def open_features(part: pa.RecordBatch) -> pa.RecordBatch:
-            features, toxic, families = [], [], []
-            for raw, value in zip(texts(part), part.column("toxic").to_pylist(), strict=True):
-                if len(known) > OPENED:
-                    known.clear()
-                own = {""}  # counts texts
-                words = raw.decode().lower().split()
-                for token in {word.strip(AROUND) for word in words}:
-                    if token not in known:
-                        known[token] = plain.features(token)
-                    own.update(known[token])
-                for run in runs_at(words, spaced(words)):
-                    own.update(f for word in plain.joined(run) for f in word_features(word))
-                features += own
-                toxic += [value] * len(own)
-                families += [family(raw)] * len(own)
-            columns = [pa.array(features, pa.string()), pa.array(toxic, pa.int32()), pa.array(families, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "family"])
-
-        return open_features
-
     taught = rows.join(F.broadcast(given), "doc_id")  # at most ``sample`` ids
-    opened = map_text(taught, work, "feature string, toxic int, family bigint").distinct()
-    half = "family & 1"
-    counted = opened.groupBy("feature").agg(
-        *[F.expr(f"count_if({half} = {k})").alias(f"n{k}") for k in (0, 1)],
-        *[F.expr(f"count_if(toxic = 1 AND {half} = {k})").alias(f"bad{k}") for k in (0, 1)],
-    )
-    bad = "(bad0 + bad1)"
-    worthy = f"feature = '' OR ({bad} >= {SUPPORT} AND {bad} >= {LEAST / 2} * (n0 + n1))"
-    found = counted.filter(worthy).toPandas()  # bounded by the sample
+    half = [f"CAST(count_if(family & 1 = {k}) AS double) AS " for k in (0, 1)]
+    # Only what enough toxic families hold can be a feature, so clean texts are searched for that alone.
+    toxic = _opened(taught.filter("toxic = 1"), plain).groupBy("feature").agg(*[F.expr(f"{half[k]}bad{k}") for k in (0, 1)])
+    bad = toxic.filter(f"feature = '' OR bad0 + bad1 >= {SUPPORT}").toPandas()  # bounded by the sample
+    if bad.empty:
+        return plain
+    wanted = Model(costs, dict.fromkeys(bad["feature"], 1.0), 0.0, {})
+    clean = _opened(taught.filter("toxic = 0"), wanted).groupBy("feature").agg(*[F.expr(f"{half[k]}good{k}") for k in (0, 1)])
+    found = bad.merge(clean.toPandas(), how="outer", on="feature").fillna(0.0)
+    for k in (0, 1):
+        found[f"n{k}"] = found[f"bad{k}"] + found[f"good{k}"]
+    worthy = (found["bad0"] + found["bad1"]) >= LEAST / 2 * (found["n0"] + found["n1"])
+    found = found[worthy | (found["feature"] == "")]
     models = [_shares(costs, found, keep) for keep in ((1,), (0,), (0, 1))]
     if not models[-1].base:
         return plain
@@ -585,6 +565,43 @@ def fit(
     return Model(costs, whole.shares, whole.base, whole.sure, regression(x, y, weight))
 
 
+def _opened(taught: DataFrame, model: Model) -> DataFrame:
+    """feature and family, each pair once: the features of texts; only those of the model if it has any.
+
+    Every text has the feature ''.
+    """
+
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = per_worker(("toxicity features", model.key[1]), dict)
+        gate = Known(model.shares, 0.0) if model.shares else None
+
+        def of(words: list[str]) -> tuple[str, ...]:
+            found = dict.fromkeys(f for word in words for f in word_features(word))
+            return tuple(f for f in found if gate is None or f in model.shares)
+
+        def open_features(part: pa.RecordBatch) -> pa.RecordBatch:
+            features, families = [], []
+            for raw in texts(part):
+                if len(known) > OPENED:
+                    known.clear()
+                own = {""}
+                words = raw.decode().lower().split()
+                for token in {word.strip(AROUND) for word in words}:
+                    if token not in known:
+                        known[token] = of(model.words(token, gate))
+                    own.update(known[token])
+                for run in runs_at(words, spaced(words)):
+                    own.update(of(model.joined(run)))
+                features += own
+                families += [family(raw)] * len(own)
+            columns = [pa.array(features, pa.string()), pa.array(families, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["feature", "family"])
+
+        return open_features
+
+    return map_text(taught, work, "feature string, family bigint").distinct()
+
+
 def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) -> Model:
     """A model without weights from the counts of some halves of the families."""
     n = sum(found[f"n{k}"].to_numpy(np.float64) for k in halves)
