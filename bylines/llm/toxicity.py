@@ -45,7 +45,8 @@ BEST = 3  # words of a text that count
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SHORT = 3  # most characters of a token that may be a part of a word
-KNOWN = 300_000  # tokens whose evidence a worker remembers
+KNOWN = 400_000  # tokens whose evidence a worker remembers
+TOGETHER = 1 << 20  # characters of texts whose tokens are looked at together
 OPENED = 200_000  # tokens whose features a worker remembers
 
 # What a character may stand for besides itself.
@@ -65,6 +66,7 @@ LONG_RUN = re.compile(r"(.)\1{3,}")
 DOUBLED = re.compile(r"(.)\1")
 DOUBLED_ALL = re.compile(r"(.)\1+")
 BRANCHING = re.compile(r"(.)\1+|[^a-zß-öø-ÿœ]", re.DOTALL)  # what more than one way leads through; other letters don't matter
+NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
 LONG = 64  # letters of a segment that is remembered
 SAME = str.maketrans(
     dict.fromkeys("\"%&'),-./:;=>?[\\]^_`}~")  # signs that stand for nothing in a skeleton
@@ -161,16 +163,17 @@ class Model:
     base: float
     sure: dict[str, float]
     weights: np.ndarray | None = None
-    key: tuple[str, str] = field(default_factory=lambda: ("toxicity", uuid.uuid4().hex))  # of what a worker remembers
+    key: tuple[str, str] = field(default_factory=lambda: (uuid.uuid4().hex, ""))  # of what a worker remembers
 
     def __post_init__(self) -> None:
         self._flat: list[float] = []
+        self._summary: Summary | None = None
         self._arcs: dict[tuple[str, int, bool], list[Arc]] = {}
         self._segments: dict[str, Segment] = {}
         self._heads = {f[: PREFIXES[0]] for f in self.shares if f.endswith("*")}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_flat": [], "_arcs": {}, "_segments": {}}
+        return self.__dict__ | {"_flat": [], "_summary": None, "_arcs": {}, "_segments": {}}
 
     def segment(self, letters: str) -> Segment:
         """What letters with one way through them cost behind their first three, whatever is in front."""
@@ -220,6 +223,9 @@ class Model:
             if start > done:
                 self._pass(states, token[done:start], done)
             for at in range(start, end):
+                if token[at] == " " and not loose:
+                    self._space(states, at)
+                    continue
                 arcs = self.arcs(token, at)
                 if loose and not bare[0] <= at <= bare[-1]:
                     arcs = [*arcs, (1, "", (), NOTHING)]
@@ -247,6 +253,19 @@ class Model:
             parts.append(letters)
         return "".join(reversed(parts))
 
+    def _space(self, states: dict[int, dict], at: int) -> None:
+        """A space ends a word, or stands for nothing."""
+        flat, onward = self._flat, states.setdefault(at + 1, {})
+        for context, (cost, path) in states.pop(at, {}).items():
+            end = cost + flat[context * LETTERS]
+            old = onward.get(0)
+            if old is None or end < old[0]:
+                onward[0] = (end, (path, " "))
+            cost += NOTHING
+            old = onward.get(context)
+            if old is None or cost < old[0]:
+                onward[context] = (cost, (path, ""))
+
     def _pass(self, states: dict[int, dict], letters: str, at: int) -> None:
         """Take all states at a place through letters that can only stand for themselves."""
         flat, onward = self._flat, states.setdefault(at + len(letters), {})
@@ -308,51 +327,83 @@ class Model:
         """What the words weigh that a token may stand for."""
         return self.weigh(self.words(token, known))
 
-    def summary(self) -> Callable[[str], tuple[list[float], float]]:
-        """A function from texts to what the regression weighs, and the highest bound that decides alone or 0."""
-        # By token without the signs around it: the evidence, whether a word with evidence may begin
-        # with the token, and its skeleton.
-        memory: dict[str, tuple[tuple[float, float, str] | None, bool, str]] = per_worker(self.key, dict)
-        known = Known(self.shares, self.base)
-
-        def look(token: str) -> tuple[tuple[float, float, str] | None, bool, str]:
-            bones = skeleton(token)
-            if not token.isalpha() or DOUBLED.search(token):
-                return self.evidence(token, known), "*" in token or bones in known.begun, bones
-            return self.weigh([token]), bones in known.begun, bones
-
-        def summarise(text: str) -> tuple[list[float], float]:
-            if len(memory) > KNOWN:
-                newer = dict(islice(memory.items(), len(memory) // 2, None))
-                memory.clear()
-                memory.update(newer)
-            words = text.lower().split()
-            tokens = set(words)
-            inner = {token: token.strip(AROUND) for token in tokens}
-            for token in set(inner.values()).difference(memory):
-                memory[token] = look(token)
-            found = {memory[token][0] for token in inner.values()}
-            opening = {token for token, own in inner.items() if memory[own][1]}
-            if known.longest and opening:
-                for run in runs_at(words, known.joined(words, opening, lambda word: memory[inner[word]][2])):
-                    found.update(self.weigh([word]) for word in self.joined(run))
-            found.discard(None)
-            shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
-            odds = [_logit(s) for s in [*shares, *[self.base] * (BEST - len(shares))]]
-            return [*odds, float(np.log1p(len(tokens))), 1.0], max((sure for _, sure, _ in found), default=0.0)
+    def summary(self) -> Summary:
+        return Summary(self)
 
-        return summarise
+    def scores(self, texts: list[str]) -> list[float]:
+        """The score of each text."""
+        if self.weights is None:
+            return [self.base] * len(texts)
+        self._summary = self._summary or Summary(self)
+        found = self._summary.of(texts)
+        return [max(sure, float(1 / (1 + np.exp(-np.dot(self.weights, x))))) for x, sure in found]
 
     def scorer(self) -> Callable[[str], float]:
-        summarise = self.summary()
-
-        def score(text: str) -> float:
-            if self.weights is None:
-                return self.base
-            x, sure = summarise(text)
-            return max(sure, float(1 / (1 + np.exp(-np.dot(self.weights, x)))))
-
-        return score
+        return lambda text: self.scores([text])[0]
+
+
+Look = tuple[tuple[float, float, str] | None, bool, str]  # evidence, whether a word may begin so, skeleton
+
+
+class Summary:
+    """What the regression weighs of texts. Tokens are looked at once per worker, those of many texts together."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, Known(model.shares, model.base)
+        number, name = model.key
+        self.memory: dict[str, Look] = per_worker(("toxicity", number), dict).setdefault(name, {})
+
+    def of(self, texts: list[str]) -> list[tuple[list[float], float]]:
+        """What the regression weighs, and the highest bound that decides alone or 0, of each text."""
+        found, held, size = [], [], 0
+        for text in texts:
+            held.append(text.lower().split())
+            size += len(text)
+            if size >= TOGETHER:
+                found += self._together(held)
+                held, size = [], 0
+        return found + self._together(held)
+
+    def _together(self, cut: list[list[str]]) -> list[tuple[list[float], float]]:
+        if len(self.memory) > KNOWN:
+            newer = dict(islice(self.memory.items(), len(self.memory) // 2, None))
+            self.memory.clear()
+            self.memory.update(newer)
+        tokens = list(map(set, cut))
+        self._learn(list(set().union(*tokens).difference(self.memory)))
+        return list(map(self._one, cut, tokens))
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Look at new tokens; signs around a token that stand for nothing make no difference."""
+        memory, model, known = self.memory, self.model, self.known
+        shares, heads = model.shares, model._heads
+        inner = [token.strip(AROUND) for token in tokens]
+        new = list(set(inner).difference(memory))
+        for token, bones in zip(new, skeletons(new), strict=True):
+            begins = bones in known.begun
+            if not token.isalpha():
+                evidence, begins = model.evidence(token, known), begins or "*" in token
+            elif DOUBLED.search(token):
+                evidence = model.weigh([model.restore(token), token] if known.holds(bones) else [token])
+            elif token in shares or token[: PREFIXES[0]] in heads:
+                evidence = model.weigh([token])
+            else:
+                evidence = None
+            memory[token] = evidence, begins, bones
+        for token, own in zip(tokens, inner, strict=True):
+            memory[token] = memory[own]
+
+    def _one(self, words: list[str], tokens: set[str]) -> tuple[list[float], float]:
+        model, memory = self.model, self.memory
+        found = {memory[token][0] for token in tokens}
+        opening = {token for token in tokens if memory[token][1]}
+        if self.known.longest and opening:
+            for run in runs_at(words, self.known.joined(words, opening, memory)):
+                found.update(model.weigh([word]) for word in model.joined(run))
+        found.discard(None)
+        shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
+        odds = [_logit(s) for s in [*shares, *[model.base] * (BEST - len(shares))]]
+        return [*odds, float(np.log1p(len(tokens))), 1.0], max((sure for _, sure, _ in found), default=0.0)
 
 
 def _logit(share: float) -> float:
@@ -435,6 +486,14 @@ def skeleton(token: str) -> str:
     return DOUBLED_ALL.sub(r"\1", bones) if DOUBLED.search(bones) else bones
 
 
+def skeletons(tokens: list[str]) -> list[str]:
+    """The skeletons of tokens without white space, all in one go."""
+    together = NO_LETTER.sub("", "\n".join(tokens).translate(SAME))
+    found = DOUBLED_ALL.sub(r"\1", together).split("\n") if tokens else []
+    # A few numerals pass for letters in patterns.
+    return [b if not b or b.isalpha() else skeleton(t) for t, b in zip(tokens, found, strict=True)]
+
+
 class Known:
     """Skeletons of the words and prefixes with evidence."""
 
@@ -443,6 +502,8 @@ class Known:
         self.words = {skeleton(f) for f in found if not f.endswith("*")}
         self.prefixes = {skeleton(f[:-1]) for f in found if f.endswith("*")}
         self.sizes = sorted(set(map(len, self.prefixes)))
+        self.least = min(self.sizes, default=0)
+        self.heads = {p[: self.least] for p in self.prefixes}
         self.longest = max(map(len, found), default=0)
         self.begun = {f[:n] for f in self.words | self.prefixes for n in range(len(f) + 1)}
 
@@ -450,42 +511,50 @@ class Known:
         """Whether a reading of the token may have evidence."""
         if "*" in token:
             return self.may_begin(token)
-        bones = skeleton(token)
-        return bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes)
+        return self.holds(skeleton(token))
+
+    def holds(self, bones: str) -> bool:
+        """Whether a skeleton is that of a word with evidence, or begins with that of a prefix."""
+        if bones in self.words:
+            return True
+        return bones[: self.least] in self.heads and any(bones[:n] in self.prefixes for n in self.sizes)
 
     def may_begin(self, token: str) -> bool:
         """Whether what stands in front of the token's first sign may begin a word with evidence."""
         bones = skeleton(token[: next((at for at, c in enumerate(token) if c in ALIKE), len(token))])
         return bones in self.begun or any(bones[:n] in self.prefixes for n in self.sizes)
 
-    def joined(self, words: list[str], opening: set[str], bones_of: Callable[[str], str]) -> Iterator[int]:
+    def joined(self, words: list[str], opening: set[str], looks: dict[str, Look]) -> Iterator[int]:
         """Places of tokens that, joined with the next ones, may be read as a word with evidence.
 
-        ``opening`` has the tokens with which such a word may begin; ``bones_of`` gives skeletons.
+        ``opening`` has the tokens with which such a word may begin; ``looks`` gives skeletons.
         """
-        for at, word in enumerate(words[:-1]):
-            if word not in opening or (len(word) > SHORT and len(words[at + 1]) > SHORT):
-                continue
-            bones, letters = bones_of(word), 1
+        short = [len(word) <= SHORT for word in words]
+        prefixes, begun, most = self.prefixes, self.begun, max(self.sizes, default=0)
+        for at in [i for i, word in enumerate(words[:-1]) if word in opening and (short[i] or short[i + 1])]:
+            bones, letters = looks[words[at]][2], 1
             for nxt in range(at + 1, len(words)):
                 token = words[nxt]
-                if len(token) > SHORT and len(words[nxt - 1]) > SHORT:
+                if not short[nxt] and not short[nxt - 1]:
                     break
                 if "*" in token:
                     yield at
                     break
-                more = bones_of(token)
+                more = looks[token][2]
                 if not more:
                     continue
-                old, letters, known = len(bones), letters + 1, bones in self.prefixes
-                bones += more[bones[-1:] == more[0] :]
+                old, letters, known = len(bones), letters + 1, bones in prefixes
+                bones += more[1:] if bones and bones[-1] == more[0] else more
                 # Nothing known goes on like this unless one letter more does, if there is one.
-                if not known and bones[: old + 1] not in self.begun:
+                if not known and bones[: old + 1] not in begun:
                     break
-                if known or bones in self.words or any(bones[:n] in self.prefixes for n in self.sizes if n > old):
+                known = known or bones in self.words
+                for n in range(old + 1, min(len(bones), most) + 1):
+                    known = known or bones[:n] in prefixes
+                if known:
                     yield at
                     break
-                if bones not in self.begun or letters > self.longest:
+                if bones not in begun or letters > self.longest:
                     break
 
 
@@ -542,7 +611,7 @@ def fit(
         found[f"n{k}"] = found[f"bad{k}"] + found[f"good{k}"]
     worthy = (found["bad0"] + found["bad1"]) >= LEAST / 2 * (found["n0"] + found["n1"])
     found = found[worthy | (found["feature"] == "")]
-    models = [_shares(costs, found, keep) for keep in ((1,), (0,), (0, 1))]
+    models = [_shares(costs, found, keep, plain.key[0]) for keep in ((1,), (0,), (0, 1))]
     if not models[-1].base:
         return plain
 
@@ -552,7 +621,11 @@ def fit(
         def summarise(part: pa.RecordBatch) -> pa.RecordBatch:
             raws = texts(part)
             own = [family(raw) for raw in raws]
-            x = [by_half[f & 1](raw.decode())[0] for f, raw in zip(own, raws, strict=True)]
+            x: list = [None] * len(raws)
+            for half, summary in enumerate(by_half):
+                places = [i for i, f in enumerate(own) if f & 1 == half]
+                for i, (values, _) in zip(places, summary.of([raws[i].decode() for i in places]), strict=True):
+                    x[i] = values
             columns = [part.column("toxic"), pa.array(own, pa.int64()), pa.array(x, pa.list_(pa.float64()))]
             return pa.RecordBatch.from_arrays(columns, ["toxic", "family", "x"])
 
@@ -572,7 +645,7 @@ def _opened(taught: DataFrame, model: Model) -> DataFrame:
     """
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = per_worker(("toxicity features", model.key[1]), dict)
+        known: dict[str, tuple[str, ...]] = per_worker(("toxicity", model.key[0]), dict)
         gate = Known(model.shares, 0.0) if model.shares else None
 
         def of(words: list[str]) -> tuple[str, ...]:
@@ -602,7 +675,7 @@ def _opened(taught: DataFrame, model: Model) -> DataFrame:
     return map_text(taught, work, "feature string, family bigint").distinct()
 
 
-def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) -> Model:
+def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...], number: str) -> Model:
     """A model without weights from the counts of some halves of the families."""
     n = sum(found[f"n{k}"].to_numpy(np.float64) for k in halves)
     bad = sum(found[f"bad{k}"].to_numpy(np.float64) for k in halves)
@@ -617,17 +690,18 @@ def _shares(costs: np.ndarray, found: pd.DataFrame, halves: tuple[int, ...]) ->
     short = np.array([len(f) <= PREFIXES[0] + 1 and f.endswith("*") for f in names], bool)  # too easily met by chance
     sure = kept & (bound >= DECISIVE) & ~short
     chosen = [dict(zip(names[k], v[k].tolist(), strict=True)) for k, v in ((kept, share), (sure, bound))]
-    return Model(costs, chosen[0], base, chosen[1], key=(f"toxicity {halves}", uuid.uuid4().hex))
+    return Model(costs, chosen[0], base, chosen[1], key=(number, str(halves)))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every row; NULL and empty texts score the base rate. Other columns are ignored."""
+    """doc_id and score (0 to 1) of every row. Other columns are ignored.
 
-    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        score = model.scorer()
+    NULL and empty texts score what the regression gives for the base rate alone.
+    """
 
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def scored(part: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [score(t or "") for t in part.column("text").to_pylist()]
+            scores = model.scores([t or "" for t in part.column("text").to_pylist()])
             columns = [part.column("doc_id"), pa.array(scores, pa.float64())]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "score"])
 
@@ -642,10 +716,9 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        score = model.scorer()
-
         def clean(part: pa.RecordBatch) -> pa.RecordBatch:
-            return part.filter(pa.array([score(t or "") < threshold for t in part.column(text_col).to_pylist()]))
+            scores = model.scores([t or "" for t in part.column(text_col).to_pylist()])
+            return part.filter(pa.array([score < threshold for score in scores], pa.bool_()))
 
         return clean
 
