@@ -175,7 +175,7 @@ def b4_residual(spark, sf_dir):
 @query
 def b4_unresolved(spark, sf_dir):
     roster, said = V.roster(spark, sf_dir), V.contrib(spark, sf_dir)
-    members, contributors = B.unresolved(roster, said, _linked(spark, sf_dir, 4))
+    members, contributors = B.unresolved(roster, said)
     sides = [
         rows.selectExpr(
             f"'{side}' AS side", "doi", auid, f"name_{side} AS name", f"surname_{side} AS surname", "reason"
