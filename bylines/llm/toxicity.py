@@ -83,7 +83,7 @@ Arc = tuple[int, str, tuple[int, ...], float]  # characters taken, letters they
 
 def letter_classes() -> np.ndarray:
     """Class of each byte: 0 between words, 1 to 26 for letters in either case, 27 beyond ASCII."""
-    classes = np.zeros(256, np.int64)
+    classes = np.zeros(256, np.int32)
     for i in range(26):
         classes[[65 + i, 97 + i]] = i + 1
     classes[128:] = LETTERS - 1
@@ -96,7 +96,7 @@ def gram_counts(classes: np.ndarray) -> np.ndarray:
     keep = inside | np.append(True, inside[:-1])
     classes = classes[keep]
     apart = np.repeat(classes, np.where(classes > 0, 1, ORDER - 1))
-    apart = np.concatenate([np.zeros(ORDER - 1, np.int64), apart, np.zeros(1, np.int64)])
+    apart = np.concatenate([np.zeros(ORDER - 1, np.int32), apart, np.zeros(1, np.int32)])
     index = apart[3:] + LETTERS * (apart[2:-1] + LETTERS * (apart[1:-2] + LETTERS * apart[:-3]))
     return np.bincount(index, minlength=LETTERS**ORDER)
 
