@@ -77,3 +77,8 @@ def test_overall_and_groups_come_from_one_scan(spark, name):
     alone |= {"f13": "f14_rate_group", "g4": "g6_chi2_group"}
     scans, grouped = (physical(spark, n).count("Scan parquet") for n in (name, alone[name.split("_")[0]]))
     assert scans <= grouped
+
+
+@pytest.mark.parametrize(("name", "most"), [("b4_unresolved", 38), ("b9_stack", 14), ("b10_complete", 31)])
+def test_shuffles_of_the_linkage(spark, name, most):
+    assert len(re.findall(r"\bExchange (?:hash|range|Single|Round)", physical(spark, name))) <= most
