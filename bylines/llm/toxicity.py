@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -45,6 +45,7 @@ BEST = 3  # words of a text that count
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SHORT = 3  # most characters of a token that may be a part of a word
+ANY = float("inf")  # share of what may decide alone
 KNOWN = 400_000  # tokens whose evidence a worker remembers
 TOGETHER = 1 << 20  # characters of texts whose tokens are looked at together
 OPENED = 200_000  # tokens whose features a worker remembers
@@ -342,14 +343,15 @@ class Model:
         return lambda text: self.scores([text])[0]
 
 
-Look = tuple[tuple[float, float, str] | None, bool, str]  # evidence, whether a word may begin so, skeleton
+# Evidence of a token, the highest share that a word beginning with it may have (0 if none), its skeleton.
+Look = tuple[tuple[float, float, str] | None, float, str]
 
 
 class Summary:
     """What the regression weighs of texts. Tokens are looked at once per worker, those of many texts together."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, Known(model.shares, model.base)
+        self.model, self.known = model, Known(model.shares, model.base, model.sure)
         number, name = model.key
         self.memory: dict[str, Look] = per_worker(("toxicity", number), dict).setdefault(name, {})
 
@@ -380,25 +382,27 @@ class Summary:
         inner = [token.strip(AROUND) for token in tokens]
         new = list(set(inner).difference(memory))
         for token, bones in zip(new, skeletons(new), strict=True):
-            begins = bones in known.begun
+            reach = known.reach(bones)
             if not token.isalpha():
-                evidence, begins = model.evidence(token, known), begins or "*" in token
+                evidence, reach = model.evidence(token, known), ANY if "*" in token else reach
             elif DOUBLED.search(token):
                 evidence = model.weigh([model.restore(token), token] if known.holds(bones) else [token])
             elif token in shares or token[: PREFIXES[0]] in heads:
                 evidence = model.weigh([token])
             else:
                 evidence = None
-            memory[token] = evidence, begins, bones
+            memory[token] = evidence, reach, bones
         for token, own in zip(tokens, inner, strict=True):
             memory[token] = memory[own]
 
     def _one(self, words: list[str], tokens: set[str]) -> tuple[list[float], float]:
         model, memory = self.model, self.memory
         found = {memory[token][0] for token in tokens}
-        opening = {token for token in tokens if memory[token][1]}
+        # A joined word changes nothing if BEST words have as much evidence, unless it may decide alone.
+        enough = max(sorted((e[0] for e in found if e), reverse=True)[BEST - 1 : BEST], default=0.0)
+        opening = {token for token in tokens if memory[token][1] > enough}
         if self.known.longest and opening:
-            for run in runs_at(words, self.known.joined(words, opening, memory)):
+            for run in runs_at(words, self.known.joined(words, opening, memory, enough)):
                 found.update(model.weigh([word]) for word in model.joined(run))
         found.discard(None)
         shares = sorted((share for share, _, _ in found), reverse=True)[:BEST]
@@ -497,7 +501,7 @@ def skeletons(tokens: list[str]) -> list[str]:
 class Known:
     """Skeletons of the words and prefixes with evidence."""
 
-    def __init__(self, shares: dict[str, float], base: float):
+    def __init__(self, shares: dict[str, float], base: float, sure: Collection[str] = ()):
         found = [f for f, share in shares.items() if share > base]
         self.words = {skeleton(f) for f in found if not f.endswith("*")}
         self.prefixes = {skeleton(f[:-1]) for f in found if f.endswith("*")}
@@ -505,7 +509,26 @@ class Known:
         self.least = min(self.sizes, default=0)
         self.heads = {p[: self.least] for p in self.prefixes}
         self.longest = max(map(len, found), default=0)
-        self.begun = {f[:n] for f in self.words | self.prefixes for n in range(len(f) + 1)}
+        # The highest share of what begins so, of prefixes and of words; features that decide alone have any.
+        self.begun: dict[str, float] = {}
+        self.own: dict[str, float] = {}
+        self.whole: dict[str, float] = {}
+        for feature in found:
+            share = ANY if feature in sure else shares[feature]
+            bones = skeleton(feature.removesuffix("*"))
+            for n in range(len(bones) + 1):
+                self.begun[bones[:n]] = max(share, self.begun.get(bones[:n], 0.0))
+            of = self.own if feature.endswith("*") else self.whole
+            of[bones] = max(share, of.get(bones, 0.0))
+
+    def reach(self, bones: str) -> float:
+        """The highest share that a word may have whose skeleton begins so and goes on; 0 if nothing known does."""
+        ahead = self.begun.get(bones, 0.0)
+        return ahead and max(ahead, self.worth(bones))
+
+    def worth(self, bones: str) -> float:
+        """The highest share that a word with this skeleton may have."""
+        return max([self.whole.get(bones, 0.0), *(self.own.get(bones[:n], 0.0) for n in self.sizes)])
 
     def may_be(self, token: str) -> bool:
         """Whether a reading of the token may have evidence."""
@@ -524,8 +547,8 @@ class Known:
         bones = skeleton(token[: next((at for at, c in enumerate(token) if c in ALIKE), len(token))])
         return bones in self.begun or any(bones[:n] in self.prefixes for n in self.sizes)
 
-    def joined(self, words: list[str], opening: set[str], looks: dict[str, Look]) -> Iterator[int]:
-        """Places of tokens that, joined with the next ones, may be read as a word with evidence.
+    def joined(self, words: list[str], opening: set[str], looks: dict[str, Look], enough: float) -> Iterator[int]:
+        """Places of tokens that, joined with the next ones, may be read as a word with more evidence than ``enough``.
 
         ``opening`` has the tokens with which such a word may begin; ``looks`` gives skeletons.
         """
@@ -551,10 +574,10 @@ class Known:
                 known = known or bones in self.words
                 for n in range(old + 1, min(len(bones), most) + 1):
                     known = known or bones[:n] in prefixes
-                if known:
+                if known and self.worth(bones) > enough:
                     yield at
                     break
-                if bones not in begun or letters > self.longest:
+                if self.reach(bones) <= enough or letters > self.longest:
                     break
 
 
