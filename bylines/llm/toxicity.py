@@ -46,7 +46,7 @@ PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SHORT = 3  # most characters of a token that may be a part of a word
 ANY = float("inf")  # share of what may decide alone
-KNOWN = 400_000  # tokens whose evidence a worker remembers
+KNOWN = 200_000  # tokens whose evidence a worker remembers
 TOGETHER = 1 << 20  # characters of texts whose tokens are looked at together
 OPENED = 200_000  # tokens whose features a worker remembers
 
