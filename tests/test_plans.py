@@ -8,6 +8,7 @@ import pytest
 
 from bylines.operators.facts import build_facts
 from bylines.operators.metrics import label_share
+from bylines.plans import sample_views
 from bylines.plans.sample_queries import QUERIES
 
 from support import settings
@@ -82,3 +83,15 @@ def test_overall_and_groups_come_from_one_scan(spark, name):
 @pytest.mark.parametrize(("name", "most"), [("b4_unresolved", 38), ("b9_stack", 14), ("b10_complete", 31)])
 def test_shuffles_of_the_linkage(spark, name, most):
     assert len(re.findall(r"\bExchange (?:hash|range|Single|Round)", physical(spark, name))) <= most
+
+
+@pytest.mark.parametrize("name", ["d6_members_group", "d7_labels", "d8_labels_group", "d11_mode"])
+def test_more_lines_make_more_parts(spark, monkeypatch, name):
+    """6,000 lines in parts of 500; the sizes of papers are counted where the lines lie."""
+    whole = physical(spark, name)
+    want = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(sample_views, "LINES", 500)
+    plan = physical(spark, name)
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 12\), REPARTITION_BY_NUM", plan)
+    assert plan.count("Exchange ") == whole.count("Exchange ")
+    assert sorted(map(str, QUERIES[name](spark, SF).collect())) == want
