@@ -8,7 +8,7 @@ import pytest
 
 from bylines.operators.facts import build_facts
 from bylines.operators.metrics import label_share
-from bylines.plans import sample_views
+from bylines.plans import sample_queries, sample_views
 from bylines.plans.sample_queries import QUERIES
 
 from support import settings
@@ -95,3 +95,9 @@ def test_more_lines_make_more_parts(spark, monkeypatch, name):
     assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 12\), REPARTITION_BY_NUM", plan)
     assert plan.count("Exchange ") == whole.count("Exchange ")
     assert sorted(map(str, QUERIES[name](spark, SF).collect())) == want
+
+
+def test_more_lines_make_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sample_queries, "LINES_PER_BUCKET", 500)
+    stored = sample_queries.stored_facts(spark, SF).groupBy("doi").count()
+    assert "12 out of 12" in plan_of(stored)
