@@ -85,11 +85,17 @@ def test_shuffles_of_the_linkage(spark, name, most):
     assert len(re.findall(r"\bExchange (?:hash|range|Single|Round)", physical(spark, name))) <= most
 
 
-@pytest.mark.parametrize(("name", "most"), [("b4_unresolved", 18), ("b9_stack", 6), ("b10_complete", 24)])
+@pytest.mark.parametrize(("name", "most"), [("b4_unresolved", 18), ("b9_stack", 6), ("b10_complete", 21)])
 def test_rounds_of_the_linkage_share_a_shuffle(spark, name, most):
     assert len(re.findall(r"\bExchange (?:hash|range|Single|Round)", physical(spark, name))) <= most
 
 
+@pytest.mark.parametrize("name", ["b10_complete", "curated"])
+def test_rows_of_the_linkage_are_laid_out_once(spark, name):
+    laid = [line for line in physical(spark, name).splitlines() if "REPARTITION_BY_NUM" in line]
+    assert sum("ReusedExchange" not in line for line in laid) == 1
+
+
 @pytest.mark.parametrize("name", ["d6_members_group", "d7_labels", "d8_labels_group", "d11_mode"])
 def test_more_lines_make_more_parts(spark, monkeypatch, name):
     """6,000 lines in parts of 500; the sizes of papers are counted where the lines lie."""
