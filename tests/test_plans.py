@@ -112,3 +112,16 @@ def test_more_lines_make_more_buckets(spark, monkeypatch):
     monkeypatch.setattr(sample_queries, "LINES_PER_BUCKET", 500)
     stored = sample_queries.stored_facts(spark, SF).groupBy("doi").count()
     assert "12 out of 12" in plan_of(stored)
+
+
+@pytest.mark.parametrize(
+    ("name", "parts"),
+    [("b3_round1", 12), ("b5_round2", 12), ("b9_stack", 12), ("b4_unresolved", 12), ("b10_complete", 12), ("curated", 37)],
+)
+def test_more_lines_make_more_parts_of_the_linkage(spark, monkeypatch, name, parts):
+    """About 6,000 lines in parts of 500, of the curated table in parts of 166, instead of 8 parts whatever the lines."""
+    want = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(sample_views, "LINES", 500)
+    laid = re.findall(r"hashpartitioning\(doi#\d+L?, _first#\d+, (\d+)\), REPARTITION_BY_NUM", physical(spark, name))
+    assert set(laid) == {str(parts)}
+    assert sorted(map(str, QUERIES[name](spark, SF).collect())) == want
