@@ -24,7 +24,7 @@ import re
 import uuid
 from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pandas as pd
@@ -171,7 +171,8 @@ class Model:
         self._summary: Summary | None = None
         self._arcs: dict[tuple[str, int, bool], list[Arc]] = {}
         self._segments: dict[str, Segment] = {}
-        self._heads = {f[: PREFIXES[0]] for f in self.shares if f.endswith("*")}
+        self._begins = {f[:-1]: share for f, share in self.shares.items() if f.endswith("*")}
+        self._heads = {begin[: PREFIXES[0]] for begin in self._begins}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_flat": [], "_summary": None, "_arcs": {}, "_segments": {}}
@@ -313,14 +314,17 @@ class Model:
 
         None if no feature's share exceeds the base rate.
         """
-        best, shares, heads = None, self.shares, self._heads
+        best, shares, begins, heads = None, self.shares, self._begins, self._heads
         for word in words:
-            if word not in shares and word[: PREFIXES[0]] not in heads:
+            if not word or word not in shares and word[: PREFIXES[0]] not in heads:
                 continue
-            features = word_features(word)
-            share = max((shares.get(f, 0.0) for f in features), default=0.0)
+            share = shares.get(word, 0.0)
+            for n in PREFIXES:
+                if n > len(word):
+                    break
+                share = max(share, begins.get(word[:n], 0.0))
             if share > self.base:
-                own = share, max(self.sure.get(f, 0.0) for f in features), word
+                own = share, max(self.sure.get(f, 0.0) for f in word_features(word)), word
                 best = max(best or own, own, key=lambda e: (e[1], e[0]))
         return best
 
@@ -383,8 +387,14 @@ class Summary:
         new = list(set(inner).difference(memory))
         for token, bones in zip(new, skeletons(new), strict=True):
             reach = known.reach(bones)
-            if not token.isalpha():
-                evidence, reach = model.evidence(token, known), ANY if "*" in token else reach
+            if "*" in token:
+                evidence, reach = model.evidence(token, known), ANY
+            elif not token.isalpha():
+                # The only reading of a token between letters or digits is the token.
+                if token and token[0].isalnum() and token[-1].isalnum() and suspicious(token):
+                    evidence = model.weigh([model.restore(token)]) if known.holds(bones) else None
+                else:
+                    evidence = model.evidence(token, known)
             elif DOUBLED.search(token):
                 evidence = model.weigh([model.restore(token), token] if known.holds(bones) else [token])
             elif token in shares or token[: PREFIXES[0]] in heads:
@@ -397,10 +407,11 @@ class Summary:
 
     def _one(self, words: list[str], tokens: set[str]) -> tuple[list[float], float]:
         model, memory = self.model, self.memory
-        found = {memory[token][0] for token in tokens}
+        looks = list(map(memory.__getitem__, tokens))
+        found = {look[0] for look in looks}
         # A joined word changes nothing if BEST words have as much evidence, unless it may decide alone.
         enough = max(sorted((e[0] for e in found if e), reverse=True)[BEST - 1 : BEST], default=0.0)
-        opening = {token for token in tokens if memory[token][1] > enough}
+        opening = {token for token, look in zip(tokens, looks, strict=True) if look[1] > enough}
         if self.known.longest and opening:
             for run in runs_at(words, self.known.joined(words, opening, memory, enough)):
                 found.update(model.weigh([word]) for word in model.joined(run))
@@ -520,11 +531,11 @@ class Known:
                 self.begun[bones[:n]] = max(share, self.begun.get(bones[:n], 0.0))
             of = self.own if feature.endswith("*") else self.whole
             of[bones] = max(share, of.get(bones, 0.0))
+        self.reaches = {bones: max(ahead, self.worth(bones)) for bones, ahead in self.begun.items()}
 
     def reach(self, bones: str) -> float:
         """The highest share that a word may have whose skeleton begins so and goes on; 0 if nothing known does."""
-        ahead = self.begun.get(bones, 0.0)
-        return ahead and max(ahead, self.worth(bones))
+        return self.reaches.get(bones, 0.0)
 
     def worth(self, bones: str) -> float:
         """The highest share that a word with this skeleton may have."""
@@ -552,9 +563,9 @@ class Known:
 
         ``opening`` has the tokens with which such a word may begin; ``looks`` gives skeletons.
         """
-        short = [len(word) <= SHORT for word in words]
-        prefixes, begun, most = self.prefixes, self.begun, max(self.sizes, default=0)
-        for at in [i for i, word in enumerate(words[:-1]) if word in opening and (short[i] or short[i + 1])]:
+        short = list(map(SHORT.__ge__, map(len, words)))
+        prefixes, reaches, heads, least, most = self.prefixes, self.reaches, self.heads, self.least, max(self.sizes, default=0)
+        for at in compress(range(len(words) - 1), map(opening.__contains__, words)):
             bones, letters = looks[words[at]][2], 1
             for nxt in range(at + 1, len(words)):
                 token = words[nxt]
@@ -566,18 +577,19 @@ class Known:
                 more = looks[token][2]
                 if not more:
                     continue
-                old, letters, known = len(bones), letters + 1, bones in prefixes
+                before, letters = bones, letters + 1
                 bones += more[1:] if bones and bones[-1] == more[0] else more
-                # Nothing known goes on like this unless one letter more does, if there is one.
-                if not known and bones[: old + 1] not in begun:
+                ahead = reaches.get(bones, 0.0)
+                # What goes on with nothing known is no known word, and neither is it if it has no known prefix.
+                if not ahead and bones[:least] not in heads:
                     break
-                known = known or bones in self.words
-                for n in range(old + 1, min(len(bones), most) + 1):
+                known = before in prefixes or bones in self.words
+                for n in range(len(before) + 1, min(len(bones), most) + 1):
                     known = known or bones[:n] in prefixes
                 if known and self.worth(bones) > enough:
                     yield at
                     break
-                if self.reach(bones) <= enough or letters > self.longest:
+                if ahead <= enough or letters > self.longest:
                     break
 
 

@@ -243,3 +243,49 @@ def test_restored_words_are_the_cheapest_of_all(documents):
     for _ in range(300):
         token = "".join(rng.choice("aehstt1*0$|!-. é9") for _ in range(rng.randint(1, 7))).strip()
         assert model.restore(token) in cheapest_reading(costs, token), token
+
+
+def test_words_that_may_go_on_are_weighed_once(monkeypatch):
+    """What may begin a known word is looked up; its prefixes are not weighed again at each place of a text."""
+    known = {"stupid": 0.95, "stup*": 0.9, "idiot": 0.95}
+    model = toxicity.Model(np.zeros([28] * 4, np.float32), known, 0.1, {}, np.array([0.0] * 4 + [-9.0]))
+    assert model.scores(["so it is"])[0] < 0.1
+    by_prefix = toxicity.Known(known, 0.1)
+    assert (by_prefix.reach("st"), by_prefix.reach("stupi"), by_prefix.reach("sto")) == (0.95, 0.95, 0.0)
+    monkeypatch.setattr(toxicity.Known, "worth", lambda *_: pytest.fail("weighed again"))
+    assert model.scores(["s t u and so on, i d i o s t u"])[0] < 0.1
+
+
+def _places(known, words, looks, enough):
+    """Places from which tokens, joined one by one, come to a skeleton with enough evidence."""
+    for at in range(len(words) - 1):
+        bones, letters = looks[words[at]][2], 1
+        for before, token in zip(words[at:], words[at + 1 :], strict=False):
+            if min(len(before), len(token)) > toxicity.SHORT:
+                break
+            old, bones, letters = bones, toxicity.skeleton(bones + looks[token][2]), letters + bool(looks[token][2])
+            if bones == old and not looks[token][2]:
+                continue
+            cuts = [bones[:n] for n in range(len(old) + 1, len(bones) + 1)]
+            if bones in known.words or old in known.prefixes or any(c in known.prefixes for c in cuts):
+                if known.worth(bones) > enough:
+                    yield at
+                    break
+            if known.reach(bones) <= enough or letters > known.longest:
+                break
+
+
+def test_places_of_spaced_words():
+    rng = random.Random(5)
+    shares = {"stupid": 0.95, "stup*": 0.9, "idiot": 0.6, "sti*": 0.3, "is": 0.4, "tupi*": 0.8}
+    known = toxicity.Known(shares, 0.1, {"stupid"})
+    found = 0
+    for _ in range(400):
+        words = ["".join(rng.choice("stupidso-") for _ in range(rng.choice((1, 1, 2, 3, 5)))) for _ in range(12)]
+        looks = {w: (None, 0.0, toxicity.skeleton(w)) for w in words}
+        for enough in (0.0, 0.5, 0.92):
+            opening = set(words)
+            got = list(known.joined(words, opening, looks, enough))
+            assert got == list(_places(known, words, looks, enough)), words
+            found += len(got)
+    assert found > 20
