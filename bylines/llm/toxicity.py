@@ -20,9 +20,11 @@ the lower end of a wide confidence interval decides alone: one such word in a lo
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import compress, islice
 
@@ -49,6 +51,7 @@ ANY = float("inf")  # share of what may decide alone
 KNOWN = 200_000  # tokens whose evidence a worker remembers
 TOGETHER = 1 << 20  # characters of texts whose tokens are looked at together
 OPENED = 200_000  # tokens whose features a worker remembers
+PIECE = 1 << 20  # letters that are counted at a time
 
 # What a character may stand for besides itself.
 LOOKS = {
@@ -68,6 +71,8 @@ DOUBLED = re.compile(r"(.)\1")
 DOUBLED_ALL = re.compile(r"(.)\1+")
 BRANCHING = re.compile(r"(.)\1+|[^a-zß-öø-ÿœ]", re.DOTALL)  # what more than one way leads through; other letters don't matter
 NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
+SIGN = re.compile(f"[{re.escape(ALIKE)}]")
+START = 4  # letters of a skeleton that mostly tell whether it begins with a known prefix
 LONG = 64  # letters of a segment that is remembered
 SAME = str.maketrans(
     dict.fromkeys("\"%&'),-./:;=>?[\\]^_`}~")  # signs that stand for nothing in a skeleton
@@ -82,9 +87,21 @@ Segment = tuple[tuple[int, ...], float, int | None]  # first classes, cost of th
 Arc = tuple[int, str, tuple[int, ...], float]  # characters taken, letters they stand for, their classes, cost
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the collector of cycles: none arise here, and it would go through all that a worker remembers time and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def letter_classes() -> np.ndarray:
     """Class of each byte: 0 between words, 1 to 26 for letters in either case, 27 beyond ASCII."""
-    classes = np.zeros(256, np.int32)
+    classes = np.zeros(256, np.uint8)
     for i in range(26):
         classes[[65 + i, 97 + i]] = i + 1
     classes[128:] = LETTERS - 1
@@ -92,12 +109,23 @@ def letter_classes() -> np.ndarray:
 
 
 def gram_counts(classes: np.ndarray) -> np.ndarray:
-    """Counts of the 4-grams that end in each class, each word by itself between boundaries."""
-    inside = classes > 0
-    keep = inside | np.append(True, inside[:-1])
-    classes = classes[keep]
-    apart = np.repeat(classes, np.where(classes > 0, 1, ORDER - 1))
-    apart = np.concatenate([np.zeros(ORDER - 1, np.int32), apart, np.zeros(1, np.int32)])
+    """Counts of the 4-grams that end in each class, each word by itself between boundaries.
+
+    Works on a piece at a time, so that memory doesn't follow the size of the text.
+    """
+    total = np.zeros(LETTERS**ORDER, np.int64)
+    before, behind_letter = np.zeros(ORDER - 1, np.int32), True
+    for start in range(0, len(classes), PIECE):
+        piece = classes[start : start + PIECE].astype(np.int32)
+        inside = piece > 0
+        piece = piece[inside | np.append(behind_letter, inside[:-1])]
+        apart = np.concatenate([before, np.repeat(piece, np.where(piece > 0, 1, ORDER - 1))])
+        total += _gram_numbers(apart)
+        before, behind_letter = apart[1 - ORDER :], bool(inside[-1])
+    return total + _gram_numbers(np.append(before, 0))
+
+
+def _gram_numbers(apart: np.ndarray) -> np.ndarray:
     index = apart[3:] + LETTERS * (apart[2:-1] + LETTERS * (apart[1:-2] + LETTERS * apart[:-3]))
     return np.bincount(index, minlength=LETTERS**ORDER)
 
@@ -357,37 +385,49 @@ class Summary:
     def __init__(self, model: Model):
         self.model, self.known = model, Known(model.shares, model.base, model.sure)
         number, name = model.key
-        self.memory: dict[str, Look] = per_worker(("toxicity", number), dict).setdefault(name, {})
+        # Of all tokens, and of those that a score may come from: few, so that a text's other tokens cost a glance.
+        self.memory: dict[str, Look]
+        self.notable: dict[str, Look]
+        self.memory, self.notable = per_worker(("toxicity", number), dict).setdefault(name, ({}, {}))
 
     def of(self, texts: list[str]) -> list[tuple[list[float], float]]:
         """What the regression weighs, and the highest bound that decides alone or 0, of each text."""
         found, held, size = [], [], 0
-        for text in texts:
-            held.append(text.lower().split())
-            size += len(text)
-            if size >= TOGETHER:
-                found += self._together(held)
-                held, size = [], 0
-        return found + self._together(held)
+        with uncollected():
+            for text in texts:
+                held.append(text.lower().split())
+                size += len(text)
+                if size >= TOGETHER:
+                    found += self._together(held)
+                    held, size = [], 0
+            return found + self._together(held)
 
     def _together(self, cut: list[list[str]]) -> list[tuple[list[float], float]]:
         if len(self.memory) > KNOWN:
             newer = dict(islice(self.memory.items(), len(self.memory) // 2, None))
             self.memory.clear()
             self.memory.update(newer)
+            for token in [t for t in self.notable if t not in newer]:
+                del self.notable[token]
         tokens = list(map(set, cut))
         self._learn(list(set().union(*tokens).difference(self.memory)))
         return list(map(self._one, cut, tokens))
 
     def _learn(self, tokens: list[str]) -> None:
         """Look at new tokens; signs around a token that stand for nothing make no difference."""
-        memory, model, known = self.memory, self.model, self.known
+        memory, notable, model, known = self.memory, self.notable, self.model, self.known
         shares, heads = model.shares, model._heads
+        begun, beginnings, beginning = known.begun, known._beginnings, known.beginning
         inner = [token.strip(AROUND) for token in tokens]
         new = list(set(inner).difference(memory))
         for token, bones in zip(new, skeletons(new), strict=True):
+            if token.isalpha() and bones not in begun and (beginnings.get(bones[:START]) or beginning(bones))[0] < 0:
+                memory[token] = None, 0.0, token if bones == token else bones
+                continue
             reach = known.reach(bones)
-            if "*" in token:
+            if not known.may_have(token, bones):
+                evidence, reach = None, ANY if "*" in token else reach
+            elif "*" in token:
                 evidence, reach = model.evidence(token, known), ANY
             elif not token.isalpha():
                 # The only reading of a token between letters or digits is the token.
@@ -401,17 +441,22 @@ class Summary:
                 evidence = model.weigh([token])
             else:
                 evidence = None
-            memory[token] = evidence, reach, bones
+            memory[token] = evidence, reach, token if bones == token else bones
+            if evidence or reach:
+                notable[token] = memory[token]
         for token, own in zip(tokens, inner, strict=True):
-            memory[token] = memory[own]
+            if token != own:
+                memory[token] = memory[own]
+                if own in notable:
+                    notable[token] = memory[own]
 
     def _one(self, words: list[str], tokens: set[str]) -> tuple[list[float], float]:
-        model, memory = self.model, self.memory
-        looks = list(map(memory.__getitem__, tokens))
-        found = {look[0] for look in looks}
+        model, memory, notable = self.model, self.memory, self.notable
+        looks = {token: notable[token] for token in filter(notable.__contains__, tokens)}
+        found = {look[0] for look in looks.values()}
         # A joined word changes nothing if BEST words have as much evidence, unless it may decide alone.
         enough = max(sorted((e[0] for e in found if e), reverse=True)[BEST - 1 : BEST], default=0.0)
-        opening = {token for token, look in zip(tokens, looks, strict=True) if look[1] > enough}
+        opening = {token for token, look in looks.items() if look[1] > enough}
         if self.known.longest and opening:
             for run in runs_at(words, self.known.joined(words, opening, memory, enough)):
                 found.update(model.weigh([word]) for word in model.joined(run))
@@ -514,24 +559,26 @@ class Known:
 
     def __init__(self, shares: dict[str, float], base: float, sure: Collection[str] = ()):
         found = [f for f, share in shares.items() if share > base]
-        self.words = {skeleton(f) for f in found if not f.endswith("*")}
-        self.prefixes = {skeleton(f[:-1]) for f in found if f.endswith("*")}
+        skeleton_of = dict(zip(found, skeletons([f.removesuffix("*") for f in found]), strict=True))
+        self.words = {bones for f, bones in skeleton_of.items() if not f.endswith("*")}
+        self.prefixes = {bones for f, bones in skeleton_of.items() if f.endswith("*")}
         self.sizes = sorted(set(map(len, self.prefixes)))
-        self.least = min(self.sizes, default=0)
+        self.least, self.most = min(self.sizes, default=0), max(self.sizes, default=0)
         self.heads = {p[: self.least] for p in self.prefixes}
         self.longest = max(map(len, found), default=0)
         # The highest share of what begins so, of prefixes and of words; features that decide alone have any.
         self.begun: dict[str, float] = {}
         self.own: dict[str, float] = {}
         self.whole: dict[str, float] = {}
-        for feature in found:
+        for feature, bones in skeleton_of.items():
             share = ANY if feature in sure else shares[feature]
-            bones = skeleton(feature.removesuffix("*"))
             for n in range(len(bones) + 1):
                 self.begun[bones[:n]] = max(share, self.begun.get(bones[:n], 0.0))
             of = self.own if feature.endswith("*") else self.whole
             of[bones] = max(share, of.get(bones, 0.0))
         self.reaches = {bones: max(ahead, self.worth(bones)) for bones, ahead in self.begun.items()}
+        self._beginnings: dict[str, tuple[int, float] | tuple[()]] = {}
+        self._pairs: dict[tuple[str, str], float] = {}
 
     def reach(self, bones: str) -> float:
         """The highest share that a word may have whose skeleton begins so and goes on; 0 if nothing known does."""
@@ -541,6 +588,32 @@ class Known:
         """The highest share that a word with this skeleton may have."""
         return max([self.whole.get(bones, 0.0), *(self.own.get(bones[:n], 0.0) for n in self.sizes)])
 
+    def beginning(self, bones: str) -> tuple[int, float]:
+        """Size of the longest known prefix that a skeleton begins with, -1 if there is none, and the highest share of all."""
+        start = bones[:START]
+        # What nothing known begins with has no longer prefix; the first letters tell it of most words.
+        if len(start) == START and start in self.begun:
+            self._beginnings[start] = ()
+            start = bones[: max(self.most, START + 1)]
+        found = self._beginnings.get(start)
+        if not found:
+            own = [(n, self.own[start[:n]]) for n in self.sizes if start[:n] in self.own]
+            found = (own[-1][0], max(share for _, share in own)) if own else (-1, 0.0)
+            if len(self._beginnings) > KNOWN:
+                self._beginnings.clear()
+            if start not in self.begun or len(start) != START:
+                self._beginnings[start] = found
+        return found
+
+    def may_have(self, token: str, bones: str) -> bool:
+        """Whether any reading of a token with this skeleton may have evidence; never wrongly False.
+
+        All of them begin with what stands in front of the first sign that looks like a letter.
+        """
+        sign = None if token.isalpha() else SIGN.search(token)
+        front = skeleton(token[: sign.start()]) if sign else bones
+        return front in self.begun or self.beginning(front)[0] >= 0
+
     def may_be(self, token: str) -> bool:
         """Whether a reading of the token may have evidence."""
         if "*" in token:
@@ -558,14 +631,38 @@ class Known:
         bones = skeleton(token[: next((at for at, c in enumerate(token) if c in ALIKE), len(token))])
         return bones in self.begun or any(bones[:n] in self.prefixes for n in self.sizes)
 
+    def _pair(self, pair: tuple[str, str], looks: dict[str, Look]) -> float:
+        """The highest share that a token joined with the next one may come to, whatever follows; remembered."""
+        bones, more = (looks[token][2] for token in pair)
+        chance = ANY
+        if more and "*" not in pair[1]:
+            before = len(bones)
+            bones += more[1:] if bones and bones[-1] == more[0] else more
+            chance = self.reaches.get(bones, 0.0)
+            size, share = self.beginning(bones)
+            if size >= before or bones in self.words:
+                chance = max(chance, share, self.whole.get(bones, 0.0))
+        if len(self._pairs) > KNOWN:
+            self._pairs.clear()
+        self._pairs[pair] = chance
+        return chance
+
     def joined(self, words: list[str], opening: set[str], looks: dict[str, Look], enough: float) -> Iterator[int]:
         """Places of tokens that, joined with the next ones, may be read as a word with more evidence than ``enough``.
 
         ``opening`` has the tokens with which such a word may begin; ``looks`` gives skeletons.
         """
         short = list(map(SHORT.__ge__, map(len, words)))
-        prefixes, reaches, heads, least, most = self.prefixes, self.reaches, self.heads, self.least, max(self.sizes, default=0)
+        words_, reaches, whole, longest = self.words, self.reaches, self.whole, self.longest
+        pairs, beginnings, beginning = self._pairs, self._beginnings, self.beginning
         for at in compress(range(len(words) - 1), map(opening.__contains__, words)):
+            if short[at + 1]:
+                pair = words[at], words[at + 1]
+                chance = pairs.get(pair)
+                if (self._pair(pair, looks) if chance is None else chance) <= enough:
+                    continue
+            elif not short[at]:
+                continue
             bones, letters = looks[words[at]][2], 1
             for nxt in range(at + 1, len(words)):
                 token = words[nxt]
@@ -577,19 +674,14 @@ class Known:
                 more = looks[token][2]
                 if not more:
                     continue
-                before, letters = bones, letters + 1
+                before, letters = len(bones), letters + 1
                 bones += more[1:] if bones and bones[-1] == more[0] else more
-                ahead = reaches.get(bones, 0.0)
-                # What goes on with nothing known is no known word, and neither is it if it has no known prefix.
-                if not ahead and bones[:least] not in heads:
-                    break
-                known = before in prefixes or bones in self.words
-                for n in range(len(before) + 1, min(len(bones), most) + 1):
-                    known = known or bones[:n] in prefixes
-                if known and self.worth(bones) > enough:
+                # A known word, or one with a known prefix that the token in front didn't go beyond.
+                size, share = beginnings.get(bones[:START]) or beginning(bones)
+                if (size >= before or bones in words_) and max(share, whole.get(bones, 0.0)) > enough:
                     yield at
                     break
-                if ahead <= enough or letters > self.longest:
+                if reaches.get(bones, 0.0) <= enough or letters > longest:
                     break
 
 
@@ -680,8 +772,9 @@ def _opened(taught: DataFrame, model: Model) -> DataFrame:
     """
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = per_worker(("toxicity", model.key[0]), dict)
-        gate = Known(model.shares, 0.0) if model.shares else None
+        known: dict[str, tuple[str, ...]]
+        own = "toxicity", ("opened", model.key[0])  # forgotten for what is remembered of scores
+        known, gate = per_worker(own, lambda: ({}, Known(model.shares, 0.0) if model.shares else None))
 
         def of(words: list[str]) -> tuple[str, ...]:
             found = dict.fromkeys(f for word in words for f in word_features(word))
@@ -689,19 +782,21 @@ def _opened(taught: DataFrame, model: Model) -> DataFrame:
 
         def open_features(part: pa.RecordBatch) -> pa.RecordBatch:
             features, families = [], []
-            for raw in texts(part):
-                if len(known) > OPENED:
-                    known.clear()
-                own = {""}
-                words = raw.decode().lower().split()
-                for token in {word.strip(AROUND) for word in words}:
-                    if token not in known:
-                        known[token] = of(model.words(token, gate))
-                    own.update(known[token])
-                for run in runs_at(words, spaced(words)):
-                    own.update(of(model.joined(run)))
-                features += own
-                families += [family(raw)] * len(own)
+            with uncollected():
+                for raw in texts(part):
+                    if len(known) > OPENED:
+                        known.clear()
+                    own = {""}
+                    words = raw.decode().lower().split()
+                    for token in {word.strip(AROUND) for word in words}:
+                        if token not in known:
+                            hopeless = gate is not None and not gate.may_have(token, skeleton(token))
+                            known[token] = () if hopeless else of(model.words(token, gate))
+                        own.update(known[token])
+                    for run in runs_at(words, spaced(words)):
+                        own.update(of(model.joined(run)))
+                    features += own
+                    families += [family(raw)] * len(own)
             columns = [pa.array(features, pa.string()), pa.array(families, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["feature", "family"])
 

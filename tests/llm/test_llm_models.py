@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -289,3 +291,85 @@ def test_places_of_spaced_words():
             assert got == list(_places(known, words, looks, enough)), words
             found += len(got)
     assert found > 20
+
+
+def test_counting_letters_takes_bounded_memory():
+    """A batch of text is counted in pieces; the counts are those of the whole."""
+    table = toxicity.letter_classes()
+    text = ("An idiot, the man\u00e9  said; " * 300_000).encode()
+    classes = table[np.frombuffer(text, np.uint8)]
+    tracemalloc.start()
+    got = toxicity.gram_counts(classes)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(text) > 8_000_000
+    assert peak < 100_000_000
+    want = Counter()
+    before, behind_letter = (0, 0, 0), True
+    for symbol in classes[:54_000].tolist():
+        for c in [symbol] if symbol else [0] * 3 * behind_letter:
+            want[before[0] * 28**3 + before[1] * 28**2 + before[2] * 28 + c] += 1
+            before = (*before[1:], c)
+        behind_letter = symbol > 0
+    want[before[0] * 28**3 + before[1] * 28**2 + before[2] * 28] += 1
+    assert {g: n for g, n in enumerate(toxicity.gram_counts(classes[:54_000]).tolist()) if n} == want
+    for size in (1, 2, 3, 5, 64, 1000):
+        pieces, toxicity.PIECE = toxicity.PIECE, size
+        try:
+            assert (toxicity.gram_counts(classes[:3000]) == _whole_counts(classes[:3000])).all(), size
+        finally:
+            toxicity.PIECE = pieces
+    assert got[want.most_common(1)[0][0]] > 0
+    assert toxicity.gram_counts(classes[:0]).sum() == 1
+
+
+def _whole_counts(classes):
+    inside = classes > 0
+    classes = classes[inside | np.append(True, inside[:-1])].astype(int)
+    apart = [0] * 3
+    for c in classes.tolist():
+        apart += [c] if c else [0] * 3
+    apart = np.array([*apart, 0])
+    return np.bincount(apart[3:] + 28 * (apart[2:-1] + 28 * (apart[1:-2] + 28 * apart[:-3])), minlength=28**4)
+
+
+def _noisy_words(rng, known):
+    """Words with and without evidence, written over, cut up, and with signs around."""
+    for _ in range(12):
+        word = list(rng.choice(["stupid", "idiot", "stumble", "islands", "a", "of", "letter", "tupilak", "so", "st\u00e9"]))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            word[rng.randrange(len(word))] = rng.choice("1!0*$.-# ti")
+        yield rng.choice(("", "", "(", "$", "-", '"', "*")) + "".join(word) + rng.choice(("", "", "!!", "***", "###", ".", ",$$$"))
+
+
+def test_words_without_evidence_are_left_out_unread(monkeypatch):
+    """What can't begin a known word is neither restored nor weighed, and no score is other for it."""
+    known = {"stupid": 0.95, "stup*": 0.9, "idiot": 0.6, "isla*": 0.3, "is": 0.4, "tupi*": 0.8}
+    grams = toxicity.gram_counts(toxicity.letter_classes()[np.frombuffer(b"so it is a stupid idiot of the letter " * 50, np.uint8)])
+    costs = toxicity.letter_costs(np.arange(len(grams)), grams)
+    rng = random.Random(11)
+    model = toxicity.Model(costs, known, 0.1, {"stupid": 0.93}, np.array([1.0, 0.5, 0.5, -0.1, -2.0]))
+    gate = toxicity.Known(known, 0.1)
+    for _ in range(300):
+        for token in " ".join(_noisy_words(rng, known)).split():
+            if model.evidence(token):
+                assert gate.may_have(token, toxicity.skeleton(token)), token
+    texts = [" ".join(_noisy_words(rng, known)) for _ in range(300)]
+    # Beside other texts, whose words are remembered, and by itself.
+    alone = [toxicity.Model(costs, known, 0.1, {"stupid": 0.93}, model.weights).scores([text])[0] for text in texts]
+    assert model.scores(texts) == alone
+    assert model.scores(texts[::-1]) == alone[::-1]
+
+    monkeypatch.setattr(toxicity.Model, "restore", lambda *_: pytest.fail("read"))
+    monkeypatch.setattr(toxicity.Model, "words", lambda *_: pytest.fail("read"))
+    assert model.scores(["letter### lett!!, l3tter$$$ lo***"])[0] < 0.5
+
+
+def test_the_collector_rests_while_texts_are_scored(monkeypatch):
+    model = toxicity.Model(np.zeros([28] * 4, np.float32), {"idiot": 0.9}, 0.1, {}, np.array([0.0] * 4 + [-9.0]))
+    seen = []
+    together = toxicity.Summary._together
+    monkeypatch.setattr(toxicity.Summary, "_together", lambda *a: seen.append(gc.isenabled()) or together(*a))
+    model.scores(["so it is"])
+    assert seen == [False]
+    assert gc.isenabled()
