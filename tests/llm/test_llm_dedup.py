@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from bylines.llm import exact_dedup, simhash, substring_dedup
+from bylines.llm.common import attach
 from bylines.llm.components import components
 
 from llm_support import AWKWARD, prose
@@ -236,3 +237,16 @@ def test_a_row_repeated_for_a_third_of_the_table(spark):
     assert len(kept_texts(exact_dedup.keep_first(df))) == len(kept_texts(simhash.keep_one(df))) == 42
     for found in (exact_dedup.exact_groups(df), simhash.near_duplicates(df)):
         assert Counter(r["doc_id"] for r in found.collect()) == Counter(i for i, _ in rows)
+
+
+def test_attached_values_are_never_broadcast(spark):
+    """Spark takes the rows behind an explode for as many as in front of it, so small tables may hide large ones."""
+    prints = spark.range(500).withColumnRenamed("id", "fingerprint")
+    rows = prints.selectExpr("fingerprint", "explode(sequence(fingerprint, fingerprint + 33)) AS value")
+    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
+    attached = attach(rows, sizes, "value", "fingerprint")
+    want = Counter(v for f in range(500) for v in range(f, f + 34))
+    assert all(r["size"] == want[r["value"]] for r in attached.collect())
+    assert attached.count() == 500 * 34
+    plan = attached._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
