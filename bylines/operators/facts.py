@@ -11,7 +11,7 @@ from bylines.functions import labels as L
 from bylines.functions.groups import DISCIPLINES, groups_of
 from bylines.functions.sql import literal
 from bylines.functions.sql import name as quoted
-from bylines.operators.joins import attach_per_key
+from bylines.operators.joins import SALTS, attach_per_key
 
 # The columns that identify a member row.
 MEMBER_KEYS = ("doi", "year", "subjareas", "aunum", "auid", "surname", "position")
@@ -113,6 +113,9 @@ def build_facts(
     groups: Mapping[str, Sequence[str]] = DISCIPLINES,
     separator: str = L.SEPARATOR,
     keep_empty: bool = False,
+    place: str = "",
+    parts: int = 0,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Curated rows to facts: the member keys and
 
@@ -124,13 +127,14 @@ def build_facts(
     * ``paper_credit``, ``paper_credit_num``: labels of the entity in that period, NULL
       where either of the two is NULL.
 
-    Members without an allowed label are dropped unless ``keep_empty``.
+    Members without an allowed label are dropped unless ``keep_empty``. With ``place`` they are laid out as
+    ``attach_per_key`` says, before their masks become lists.
     """
     members, masks = member_masks(df, keys, labels, vocab, aliases, separator)
     stats = entity_stats(members, entity, period, ordinal, masks)
     if not keep_empty:
         members = members.filter(L.any_label(masks))
-    joined = attach_per_key(members, stats, [entity], null_safe=[period])
+    joined = attach_per_key(members, stats, [entity], null_safe=[period], salts=salts, place=place, parts=parts)
     of_entity = [f"_all{mask}" for mask in masks]
     known = f"{quoted(entity)} IS NOT NULL AND {quoted(period)} IS NOT NULL"
     return joined.selectExpr(

@@ -74,3 +74,35 @@ def test_distinct_count_of_null_entity_is_null(spark):
     got = attach_distinct_count(df, "doi", "auid", "n").collect()
     assert len(got) == 6
     assert {(r["doi"], r["n"]) for r in got} == {("a", 2), (None, None)}
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_shares_of_keys_take_one_shuffle(spark, rows):
+    """The rows, the shares by key, the values by key and the values by share; ``stats`` is grouped before."""
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    with settings(spark, **SPREAD):
+        assert shuffles(attach_per_key(rows, stats, ["k"])) - shuffles(stats) == 4
+
+
+def test_values_reach_every_share(spark):
+    """Every bit of every mask: all 1,024 shares of a key are met, also where Spark thinks the shares few."""
+    df = spark.range(20_000).selectExpr("'hot' AS k", "id AS v")
+    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    attached = attach_per_key(df, stats, ["k"])
+    assert attached.filter("n = 20000").count() == 20_000
+    assert attached.agg(F.sum("v")).first()[0] == sum(range(20_000))
+
+
+def test_rows_stay_where_they_were_laid_out(spark, rows):
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    place = "pmod(hash(k), 4)"
+    with settings(spark, **SPREAD, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        got = attach_per_key(rows, stats, ["k"], salts=2, place=place, parts=12)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        parts = got.selectExpr(f"{place} AS place", "spark_partition_id() AS part").distinct().collect()
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(stats, "k", "left").collect()))
+    assert plan.count("12), REPARTITION_BY_NUM") == 2
+    assert all(sum(p["place"] == place for p in parts) <= 2 for place in range(4))  # a part per share at most

@@ -125,3 +125,25 @@ def test_more_lines_make_more_parts_of_the_linkage(spark, monkeypatch, name, par
     laid = re.findall(r"hashpartitioning\(doi#\d+L?, _first#\d+, (\d+)\), REPARTITION_BY_NUM", physical(spark, name))
     assert set(laid) == {str(parts)}
     assert sorted(map(str, QUERIES[name](spark, SF).collect())) == want
+
+
+def test_stored_facts_are_shuffled_narrow_and_once(spark, monkeypatch):
+    """The rows meet the values of their paper where they are written: lists are made after the last shuffle."""
+    plans = []
+    write = sample_queries.fact_table.write_facts
+
+    def watched(facts, *args, **kwargs):
+        with settings(spark, **PLAIN, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+            plans.append(plan_of(facts.select("*")))
+        assert kwargs["dealt"]
+        write(facts, *args, **kwargs)
+
+    monkeypatch.setattr(sample_queries.fact_table, "write_facts", watched)
+    stored = sample_queries.stored_facts(spark, SF)
+    want = sample_views.facts(spark, SF, keep_empty=True)
+    columns = want.columns
+    assert sorted(map(str, stored.select(columns).collect())) == sorted(map(str, want.collect()))
+    lines = plans[0].splitlines()
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line for line in lines[:join])
+    assert sum("REPARTITION_BY_NUM" in line and "_place" in line and "_salt" in line for line in lines) == 2
